@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from gridweave.durable import cut_lineage
 from gridweave.functions.gaussian import gaussian_array
 from gridweave.operators.products import sum_arrays
-from gridweave.skew import skew_join
+from gridweave.skew import hot_table, skew_join
 
 BLOCK = ("depth", "a", "b")
 # Directions below this share of the largest singular value are dropped.
@@ -110,11 +110,12 @@ def block_orth(
     use = k if method == "qr" else width
     kept = [c for c in samples.columns if c not in block]
     first = _transforms(gram_table(samples, block, width, "ys"), block, width, use, k).select(*block, "t")
+    hot = hot_table(samples, block)
     rough = cut_lineage(
-        skew_join(samples, first, block, [row]).select(*block, *kept, _times("ys", "t", width, k).alias(out))
+        skew_join(samples, first, block, [row], hot).select(*block, *kept, _times("ys", "t", width, k).alias(out))
     )
     second = _transforms(gram_table(rough, block, k, out), block, k, k, k).select(*block, "k_eff", "t")
-    return skew_join(rough, second, block, [row]).select(*block, *kept, "k_eff", _times(out, "t", k, k).alias(out))
+    return skew_join(rough, second, block, [row], hot).select(*block, *kept, "k_eff", _times(out, "t", k, k).alias(out))
 
 
 def orth_report(basis: DataFrame, k: int, block: Sequence[str] = BLOCK, out: str = "us", tol: float = 1e-10) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gridweave.functions.geometry import suggest_eta
 from gridweave.grid import Grid
-from gridweave.skew import skew_join
+from gridweave.skew import hot_table, skew_join
 
 
 def _rollup(points: DataFrame, grid: Grid, depth: int, first: Sequence[Column], merge: Sequence[Column]) -> DataFrame:
@@ -174,7 +174,8 @@ def leaf_membership(points: DataFrame, leaves: DataFrame, grid: Grid, depth: int
     """Leaf box of every point.
 
     The leaf of each occupied finest cell is found among cells, not points; the points
-    then take it over in one join on their cell, spread when a cell is hot.
+    then take it over in one join on their cell, spread when a cell is hot.  ``points``
+    should be stored, as it is read more than once.
     """
     fine = points.select("id", *[c.alias(f"f_{k}") for c, k in zip(grid.cells(depth), grid.keys)])
     fine_keys = [f"f_{k}" for k in grid.keys]
@@ -184,7 +185,8 @@ def leaf_membership(points: DataFrame, leaves: DataFrame, grid: Grid, depth: int
         for f, k in zip(fine_keys, grid.keys)
     ]
     owner = up.select(*fine_keys, "depth", *anc).join(leaves.select("depth", *grid.keys), ["depth", *grid.keys])
-    return skew_join(fine, owner, fine_keys, ["id"]).select("id", "depth", *grid.keys)
+    hot = hot_table(fine, fine_keys)
+    return skew_join(fine, owner, fine_keys, ["id"], hot).select("id", "depth", *grid.keys)
 
 
 def finest_needed(points: DataFrame, grid: Grid, m: int) -> int:

@@ -13,19 +13,31 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridweave.durable import cut_lineage
 from gridweave.operators.blockfactor import BLOCK
 from gridweave.operators.products import join_vector, matvec, matvec_thick, rmatvec, sum_arrays
-from gridweave.skew import skew_join
+from gridweave.skew import hot_table, skew_join
 
 
 @dataclass(frozen=True)
 class Factors:
-    """Stored factors of the well-separated blocks, all of rank ``k`` (zero columns beyond the block's own)."""
+    """Stored factors of the well-separated blocks, all of rank ``k`` (zero columns beyond the block's own).
+
+    ``hot_u`` and ``hot_v`` list the blocks with very many rows or columns, if any.
+    """
 
     u: DataFrame
     core: DataFrame
     v: DataFrame
     k: int
+    hot_u: DataFrame | None = None
+    hot_v: DataFrame | None = None
+
+    @classmethod
+    def write(cls, u: DataFrame, core: DataFrame, v: DataFrame, k: int) -> Factors:
+        """Write the three tables and look for hot blocks once."""
+        u, core, v = cut_lineage(u), cut_lineage(core), cut_lineage(v)
+        return cls(u, core, v, k, hot_table(u, BLOCK), hot_table(v, BLOCK))
 
     def transposed(self) -> Factors:
         flip = [F.col("depth"), F.col("b").alias("a"), F.col("a").alias("b")]
@@ -35,12 +47,28 @@ class Factors:
             self.core.select(*flip, core.alias("core")),
             self.u.select(*flip, F.col("i").alias("j"), F.col("us").alias("vs")),
             self.k,
+            None if self.hot_v is None else self.hot_v.select(*flip, "_salts"),
+            None if self.hot_u is None else self.hot_u.select(*flip, "_salts"),
         )
 
     def above(self, depth: int) -> Factors:
         """Factors of the depths coarser than ``depth``."""
         coarse = F.col("depth") < depth
-        return Factors(self.u.where(coarse), self.core.where(coarse), self.v.where(coarse), self.k)
+        return Factors(
+            self.u.where(coarse), self.core.where(coarse), self.v.where(coarse), self.k, self.hot_u, self.hot_v
+        )
+
+    def plus(self, other: Factors) -> Factors:
+        """Factors of other blocks, of the same rank, added."""
+        if other.k != self.k:
+            raise ValueError(f"ranks differ: {self.k} and {other.k}")
+        hot = [
+            a if b is None else b if a is None else a.unionByName(b)
+            for a, b in ((self.hot_u, other.hot_u), (self.hot_v, other.hot_v))
+        ]
+        return Factors(
+            self.u.unionByName(other.u), self.core.unionByName(other.core), self.v.unionByName(other.v), self.k, *hot
+        )
 
 
 def _dot(left: Column, right: Column, k: int, at: int = 0, other: int = 0) -> Column:
@@ -61,6 +89,7 @@ def apply_truncated_thick(
     if set(by) & set(block):
         raise ValueError(f"columns {by} clash with the block key {block}")
     doubles = None if vec_rows is None else vec_rows * width
+    # A column is in at most 6^d blocks per depth, so this join has no hot keys.
     met = join_vector(factors.v, vec, "j", block, doubles)
     short = met.groupBy(*block, *by).agg(
         F.array(*[F.sum(F.col("vs")[c] * F.col("xs")[w]) for w in range(width) for c in range(k)]).alias("s")
@@ -70,7 +99,7 @@ def apply_truncated_thick(
         *by,
         F.array(*[_dot(F.col("core"), F.col("s"), k, c * k, w * k) for w in range(width) for c in range(k)]).alias("t"),
     )
-    spread = skew_join(factors.u, mixed, block, ["i"])
+    spread = skew_join(factors.u, mixed, block, ["i"], factors.hot_u)
     return spread.groupBy(*by, "i").agg(
         sum_arrays(width, lambda w: _dot(F.col("us"), F.col("t"), k, 0, w * k)).alias("ys")
     )

@@ -20,7 +20,7 @@ from gridweave.grid import Grid
 from gridweave.operators.pairs import _shifted, half_offsets
 from gridweave.operators.products import sum_arrays
 from gridweave.operators.scan import running_total
-from gridweave.skew import skew_join
+from gridweave.skew import hot_table, skew_join
 
 # Locations per tile of a dense kernel product.
 TILE = 256
@@ -234,5 +234,6 @@ def to_patches(per_loc: DataFrame, points: DataFrame, grid: Grid, values: Sequen
     """Give every patch the values of its location: ``(by, id, values)``."""
     owner = locations(points, grid.axes).drop("copies")
     at_loc = per_loc.join(owner, "loc").select(*grid.axes, *by, *values)
-    patches = skew_join(points.select("id", *grid.axes), at_loc, list(grid.axes), ["id"])
+    patch = points.select("id", *grid.axes)
+    patches = skew_join(patch, at_loc, grid.axes, ["id"], hot_table(patch, grid.axes))
     return patches.select(*by, "id", *values)

@@ -31,10 +31,15 @@ def join_vector(
     vec_doubles: int | None = None,
     hot: DataFrame | None = None,
 ) -> DataFrame:
-    """Attach a vector to table rows by ``key``: broadcast below a checked size, else a spread join."""
+    """Attach a vector to table rows by ``key``: broadcast below a checked size, else a shuffled join.
+
+    ``hot`` (from ``skew.hot_table``) salts hot keys of a matrix that is used many times.  A
+    matrix used once is not read twice to look for them: vector keys are unique, so adaptive
+    execution splits an oversized key's rows.
+    """
     if vec_doubles is not None and vec_doubles <= BROADCAST_DOUBLES:
         return table.join(F.broadcast(vec), key)
-    return skew_join(table, vec, [key], spread, hot=hot)
+    return skew_join(table, vec, [key], spread, hot)
 
 
 def matvec(matrix: DataFrame, vec: DataFrame, vec_rows: int | None = None, hot: DataFrame | None = None) -> DataFrame:

@@ -142,6 +142,19 @@ m AS (
   SELECT p * 2 AS i, s AS j, q AS v FROM trade UNION ALL SELECT p * 2 + 1, s, w FROM trade
   UNION ALL SELECT s * 2, p, q FROM trade UNION ALL SELECT s * 2 + 1, p, w FROM trade)"""
 
+NATIONS = """pts AS (
+  SELECT p_partkey * 2 AS id, CAST(p_size AS DOUBLE) / 50e0 AS x, (p_retailprice - 900e0) / 100e0 AS y FROM part
+  UNION ALL
+  SELECT CAST(n_nationkey AS BIGINT) * 2 + 1, CAST(n_nationkey % 5 AS DOUBLE) / 5e0 + 1e-1,
+    CAST(n_nationkey // 5 AS DOUBLE) / 5e0 + 1e-1 FROM nation)"""
+NATION_MATRIX = """trade AS (
+  SELECT l_partkey * 2 AS p, CAST(s_nationkey AS BIGINT) * 2 + 1 AS n, sum(l_quantity) AS q,
+    sum(l_quantity * l_linenumber) AS w
+  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL),
+m AS (
+  SELECT p * 2 AS i, n AS j, q AS v FROM trade UNION ALL SELECT p * 2 + 1, n, w FROM trade
+  UNION ALL SELECT n * 2, p, q FROM trade)"""
+
 # Block of each entry: the first depth at which the cells no longer touch, else the last depth.
 LOCATED = """apart AS (
   SELECT m.i, m.j, min(k) AS sep
@@ -371,8 +384,8 @@ def _matrix_queries() -> dict[str, str]:
         " FROM dm JOIN x USING (i) GROUP BY j",
         "matrix_block": f"WITH {SUPPLY} SELECT i, j, v FROM m WHERE i IN (SELECT s_suppkey FROM supplier WHERE"
         " s_acctbal < 0) AND j IN (SELECT p_partkey FROM part WHERE p_size > 25)",
-        "block_spectrum": "SELECT label, count(*) AS n_rows, round(sum(list_sum(list_transform(embedding,"
-        " e -> CAST(e AS DOUBLE) * CAST(e AS DOUBLE)))), 4) AS energy, TRUE AS falling FROM embeddings GROUP BY label",
+        "block_spectrum": "SELECT label, count(*) // 64 AS n_rows, round(sum(CAST(embedding[k] AS DOUBLE) *"
+        " CAST(embedding[k] AS DOUBLE)), 4) AS energy, TRUE AS falling FROM embeddings, range(1, 65) t(k) GROUP BY label",
         "spectral_norm": f"WITH {SUPPLY},\n{_power('p', 'm', iters)}\nSELECT CAST({iters} AS INTEGER) AS n_iters,"
         " round(v, 4) AS norm FROM pnorm",
         "relative_error": f"WITH {SUPPLY}, {COARSE}, {diff},\n{_power('p', 'm', iters)},\n{_power('q', 'dm', iters)}\n"
@@ -468,12 +481,15 @@ def _factor_queries() -> dict[str, str]:
     near = "(SELECT count(*) FROM held WHERE NOT far)"
     blocks = "(SELECT count(*) FROM (SELECT DISTINCT depth, a, b FROM held WHERE far))"
 
+    nat = _with(NATIONS, XY, "box", LEAF, 2) + ",\n" + NATION_MATRIX + ",\n" + LOCATED
+    energy = "SELECT depth, a, b, sum(v * v) AS energy FROM held WHERE far GROUP BY depth, a, b"
+
     def sweep(k, p, leaf):
-        inner = _with(TRADE, XY, "box", leaf, 2) + ",\n" + TRADE_MATRIX + ",\n" + LOCATED
+        inner = _with(NATIONS, XY, "box", leaf, 2) + ",\n" + NATION_MATRIX + ",\n" + LOCATED
         return (
             f"SELECT * FROM ({inner}\nSELECT CAST({k} AS INTEGER) AS k, CAST({p} AS INTEGER) AS p,"
             f" CAST({leaf} AS INTEGER) AS leaf, CAST(d AS INTEGER) AS depth, {near} AS n_near,"
-            f" {blocks} * {k * k} AS n_core, TRUE AS far_ok FROM dep)"
+            f" {blocks} * {k * k} AS n_core, {k} >= 6 AS exact FROM dep)"
         )
 
     return {
@@ -483,19 +499,19 @@ def _factor_queries() -> dict[str, str]:
         "peeled_matvec": f"{base},\n{means},\n{xj},\n{by_b},\n{rows},\n" + peel.format(k="i", o="j"),
         "peeled_rmatvec": f"{base},\n{means},\n{xi},\n{by_a},\n{cols},\n" + peel.format(k="j", o="i"),
         "level_sample": f"{base},\n{sample}" + _long(f"SELECT pattern, i, {total} FROM raw_ GROUP BY ALL", "pattern, i", width),
-        "column_bases": f"{base}\nSELECT *, TRUE AS k_ok, TRUE AS orth_ok FROM ({u.format(n='n_rows')})",
-        "row_bases": f"{base}\nSELECT *, TRUE AS k_ok, TRUE AS orth_ok FROM ({v.format(n='n_rows')})",
+        "column_bases": f"{nat}\nSELECT *, TRUE AS k_ok, TRUE AS orth_ok FROM ({u.format(n='n_rows')})",
+        "row_bases": f"{nat}\nSELECT *, TRUE AS k_ok, TRUE AS orth_ok FROM ({v.format(n='n_rows')})",
         "block_orth": "SELECT CAST(label AS BIGINT) AS label, count(*) AS n_rows, CAST(least(4, count(*)) AS INTEGER) AS k_eff,"
         " TRUE AS orth_ok FROM embeddings GROUP BY label",
         "two_sample_compress": f"{base}\nSELECT depth, a, b, n_u, TRUE AS u_ok, n_v, TRUE AS v_ok FROM"
         f" ({u.format(n='n_u')}) JOIN ({v.format(n='n_v')}) USING (depth, a, b)",
-        "core_matrix": f"{base}\nSELECT DISTINCT depth, a, b, CAST(9 AS INTEGER) AS n_core, TRUE AS finite FROM held WHERE far",
-        "core_matrices": f"{base}\nSELECT depth, count(DISTINCT (a, b)) AS n_cores FROM held WHERE far GROUP BY depth",
-        "hier_matvec": f"{base}\nSELECT count(DISTINCT i) AS n_rows, TRUE AS close FROM held",
-        "hier_rmatvec": f"{base}\nSELECT count(DISTINCT j) AS n_rows, TRUE AS close FROM held",
-        "compression_report": f"{base}\nSELECT CAST(3 AS INTEGER) AS k, {near} AS n_near, {blocks} * 9 AS n_core,"
-        " CAST(n * 2 * n AS DOUBLE) AS n_full, TRUE AS far_is_larger, TRUE AS far_ok FROM dom",
-        "param_sweep": "\nUNION ALL ".join(sweep(*s) for s in ((1, 1, 32), (2, 2, 32), (2, 2, 8))),
+        "core_matrix": f"{nat}\nSELECT depth, a, b, {_r('energy', 'energy', 2)} FROM ({energy})",
+        "core_matrices": f"{nat}\nSELECT depth, count(*) AS n_cores, round(sum(energy), 1) AS energy FROM ({energy}) GROUP BY depth",
+        "hier_matvec": f"{nat},\n{xj}\nSELECT i, {_r('sum(v * x)', 'y', 2)} FROM m JOIN x USING (j) GROUP BY i",
+        "hier_rmatvec": f"{nat},\n{xi}\nSELECT j, {_r('sum(v * x)', 'y', 2)} FROM m JOIN x USING (i) GROUP BY j",
+        "compression_report": f"{nat}\nSELECT CAST(6 AS INTEGER) AS k, {near} AS n_near, {blocks} * 36 AS n_core,"
+        " CAST(n * 2 * n AS DOUBLE) AS n_full, TRUE AS exact FROM dom",
+        "param_sweep": "\nUNION ALL ".join(sweep(*s) for s in ((1, 2, 8), (6, 2, 8), (6, 2, 32))),
     }
 
 

@@ -23,12 +23,14 @@ from gridweave.operators.factors import Factors, apply_truncated, apply_truncate
 from gridweave.operators.norms import matrix_products, power_norm, ratio, start_vector
 from gridweave.operators.patterns import SAMPLE_PERIOD, pattern_code
 from gridweave.operators.products import matvec, rmatvec, sum_arrays, transpose
-from gridweave.skew import skew_join
+from gridweave.skew import hot_table, skew_join
 
 # Seeds of the column and the row sketches.
 COL_SEED, ROW_SEED = 11, 23
 # First depth that has well-separated pairs.
 FIRST_DEPTH = 2
+# Pairs of one depth up to this bound are broadcast; a depth has at most 2^(d depth) boxes of 6^d pairs.
+BROADCAST_PAIRS = 200_000
 
 
 # -- where an entry belongs ------------------------------------------------
@@ -53,13 +55,16 @@ def locate(matrix: DataFrame, points: DataFrame, grid: Grid, depth: int) -> Data
     of the last depth (``far`` false).
 
     This is the only place where entries meet the points; every later step reads the result.
+    ``matrix`` should be a stored table.
     """
     cells = points.select("id", *grid.cells(depth))
     out = matrix
     for end, dof, prefix in (("i", grid.dof_row, "r_"), ("j", grid.dof_col, "c_")):
         side = cells.select(F.col("id").alias(f"{end}_id"), *[F.col(k).alias(prefix + k) for k in grid.keys])
-        other = "j" if end == "i" else "i"
-        out = skew_join(out.withColumn(f"{end}_id", F.expr(f"{end} div {dof}")), side, [f"{end}_id"], [other]).drop(f"{end}_id")
+        key, other = f"{end}_id", "j" if end == "i" else "i"
+        patch = F.expr(f"{end} div {dof}")
+        hot = hot_table(matrix.withColumn(key, patch), [key])
+        out = skew_join(out.withColumn(key, patch), side, [key], [other], hot).drop(key)
     out = out.withColumn("_sep", separation_depth(grid, depth))
     out = out.withColumn("depth", F.coalesce(F.col("_sep"), F.lit(depth)))
     up = F.lit(depth) - F.col("depth")
@@ -138,7 +143,11 @@ def block_samples(
         pattern_code(grid, SAMPLE_PERIOD, partner).alias("pattern"),
     )
     rows = _owned(points, grid, depth, grid.dof_col if adjoint else grid.dof_row, "i").drop("pattern")
-    wanted = skew_join(rows, level, ["box"], ["i"]).drop("box")
+    # Few boxes hold all rows on a coarse depth.  The grid bounds its pairs, so they are copied to
+    # the rows there; on deeper depths the boxes themselves spread the join.
+    if 12**grid.d * 2 ** (grid.d * (depth - 1)) <= BROADCAST_PAIRS:
+        level = F.broadcast(level)
+    wanted = rows.join(level, "box").drop("box")
     got = wanted.join(sample, ["pattern", "i"]).select(*BLOCK, "i", "ys")
     return got.withColumnRenamed("i", "j") if adjoint else got
 
@@ -202,7 +211,7 @@ def factor_blocks(y: DataFrame, z: DataFrame, k: int, p: int, method: str = "svd
     u = cut_lineage(block_orth(y, "i", width, k, method, BLOCK, "us"))
     v = cut_lineage(block_orth(z, "j", width, k, method, BLOCK, "vs"))
     core = cut_lineage(core_matrix(u, v, width, k, ROW_SEED, COL_SEED))
-    return Factors(u.drop("ys"), core, v.drop("ys"), k)
+    return Factors(u.drop("ys"), core, v.drop("ys"), k, hot_table(u, BLOCK), hot_table(v, BLOCK))
 
 
 def column_bases(y: DataFrame, k: int, p: int, method: str = "svd") -> DataFrame:
@@ -256,12 +265,7 @@ def compress_black_box(
             block_samples(z, pairs, points, grid, level, adjoint=True),
             k, p, method,
         )
-        if done is None:
-            done = new
-        else:
-            done = Factors(
-                done.u.unionByName(new.u), done.core.unionByName(new.core), done.v.unionByName(new.v), k
-            )
+        done = new if done is None else done.plus(new)
     if done is None:
         raise ValueError(f"depth {depth} has no well-separated pairs")
     return done
@@ -310,8 +314,9 @@ def compression_report(entries: DataFrame, comp: Compressed, grid: Grid, n_iters
         both = full.unionByName(approx.select(key, (-F.col("y")).alias("y")))
         return both.groupBy(key).agg(F.sum("y").alias("y"))
 
+    # Both halves of the adjoint read the same vector, so it is written first.
     error = power_norm(
-        lambda x: minus(fwd(x), apply_truncated(f, x), "i"),
+        lambda x: cut_lineage(minus(fwd(x), apply_truncated(f, x), "i")),
         lambda x: minus(adj(x), apply_truncated_t(f, x), "j"),
         start,
         n_iters,

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridweave.durable import cut_lineage
+
 # At most this many keys can hold a thousandth of the rows or more each.
 HOT_KEYS = 1000
 # Rows of one key that one task should handle at most.
@@ -31,22 +33,30 @@ def hot_keys(big: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> D
     )
 
 
+def hot_table(table: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """``hot_keys`` of a stored table, written once; None where it is too small to have any.
+
+    The row count of a stored table comes from its footers.
+    """
+    if table.count() <= hot_rows:
+        return None
+    return cut_lineage(hot_keys(table, keys, hot_rows))
+
+
 def skew_join(
-    big: DataFrame,
-    small: DataFrame,
-    keys: Sequence[str],
-    spread: Sequence[str],
-    hot_rows: int = HOT_ROWS,
-    hot: DataFrame | None = None,
+    big: DataFrame, small: DataFrame, keys: Sequence[str], spread: Sequence[str], hot: DataFrame | None
 ) -> DataFrame:
     """Inner equi-join where rows of a hot key in ``big`` are spread over salts.
 
-    ``spread`` names columns of ``big`` that tell its rows of one key apart.  Only the
-    hot keys of ``small`` are copied, so the result holds exactly the plain join's rows.
-    ``hot`` is a ready ``hot_keys`` table, for a ``big`` that is joined many times.
+    ``hot`` comes from ``hot_table``.  ``spread`` names columns of ``big`` that tell its rows
+    of one key apart.  Only the hot keys of ``small`` are copied, so the result holds exactly
+    the plain join's rows.  Without ``hot`` it is the plain join, which adaptive execution
+    may still split.
     """
     keys = list(keys)
-    hot = F.broadcast(hot_keys(big, keys, hot_rows) if hot is None else hot)
+    if hot is None:
+        return big.join(small, keys)
+    hot = F.broadcast(hot)
     salted = (
         big.join(hot, keys, "left")
         .withColumn("_salt", F.pmod(F.xxhash64(*spread), F.coalesce(F.col("_salts"), F.lit(1))).cast("int"))

@@ -55,6 +55,28 @@ def trade_matrix(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select("j", F.inline(comps)).select("i", "j", "v")
 
 
-def harmonic_vector(df: DataFrame, key: str, out: str = "x") -> DataFrame:
-    """The deterministic vector ``1 / (1 + key)`` over the distinct keys."""
-    return df.select(key).distinct().select(key, (F.lit(1.0) / (F.lit(1.0) + F.col(key))).alias(out))
+def nation_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    """Interaction of the patches of ``nation_points``: trade of each part with each supplier nation.
+
+    A part's two rows hold quantity and weighted quantity at the nation's column; a nation's
+    first row holds quantity at the part's column.  A box has few nations, so every
+    well-separated block has a low rank by construction.  Lines are combined per part and
+    supplier before they meet the suppliers.
+    """
+    lines = read(spark, folder, "lineitem").groupBy("l_partkey", "l_suppkey").agg(
+        F.sum("l_quantity").alias("q"), F.sum(F.col("l_quantity") * F.col("l_linenumber")).alias("s")
+    )
+    home = read(spark, folder, "supplier").select(
+        F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("bigint").alias("n")
+    )
+    pairs = (
+        lines.join(home, "l_suppkey")
+        .groupBy((F.col("l_partkey") * 2).alias("p"), (F.col("n") * 2 + 1).alias("n"))
+        .agg(F.sum("q").alias("q"), F.sum("s").alias("s"))
+    )
+    entries = F.array(
+        F.struct((F.col("p") * 2).alias("i"), F.col("n").alias("j"), F.col("q").alias("v")),
+        F.struct((F.col("p") * 2 + 1).alias("i"), F.col("n").alias("j"), F.col("s").alias("v")),
+        F.struct((F.col("n") * 2).alias("i"), F.col("p").alias("j"), F.col("q").alias("v")),
+    )
+    return pairs.select(F.inline(entries))

@@ -56,24 +56,41 @@ def embedding_points(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def trade_points(spark: SparkSession, folder: str) -> DataFrame:
-    """2D points of both trading sides on one unit-square domain.
-
-    Parts get even ids, suppliers odd ones, so one point table carries both kinds of patches.
-    """
-    parts = read(spark, folder, "part").select(
+def _unit_parts(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "part").select(
         (F.col("p_partkey") * 2).alias("id"),
         (F.col("p_size").cast("double") / 50.0).alias("x"),
         ((F.col("p_retailprice") - 900.0) / 100.0).alias("y"),
         F.lit(0.1).alias("len"),
     )
+
+
+def trade_points(spark: SparkSession, folder: str) -> DataFrame:
+    """2D points of both trading sides on one unit-square domain.
+
+    Parts get even ids, suppliers odd ones, so one point table carries both kinds of patches.
+    """
     suppliers = read(spark, folder, "supplier").select(
         (F.col("s_suppkey") * 2 + 1).alias("id"),
         (F.col("s_nationkey").cast("double") / 25.0).alias("x"),
         (F.col("s_acctbal") / 10000.0).alias("y"),
         F.lit(0.1).alias("len"),
     )
-    return parts.unionByName(suppliers)
+    return _unit_parts(spark, folder).unionByName(suppliers)
+
+
+def nation_points(spark: SparkSession, folder: str) -> DataFrame:
+    """2D points of parts and nations on one unit-square domain, nations on a 5 by 5 lattice.
+
+    Parts get even ids, nations odd ones.
+    """
+    nations = read(spark, folder, "nation").select(
+        (F.col("n_nationkey").cast("bigint") * 2 + 1).alias("id"),
+        ((F.col("n_nationkey") % 5).cast("double") / 5.0 + 0.1).alias("x"),
+        (F.floor(F.col("n_nationkey") / 5).cast("double") / 5.0 + 0.1).alias("y"),
+        F.lit(0.1).alias("len"),
+    )
+    return _unit_parts(spark, folder).unionByName(nations)
 
 
 def unit_scaled(points: DataFrame, axes: Sequence[str] = XY) -> DataFrame:
