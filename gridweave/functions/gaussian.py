@@ -12,24 +12,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _uniform(digest: Column, part: int) -> Column:
-    word = F.conv(F.substring(digest, 8 * part + 1, 8), 16, 10).cast("double")
-    return (word + F.lit(0.5)) / F.lit(4294967296.0)
+def gaussian_array(width: int, seed: int, *keys: str) -> Column:
+    """Array of ``width`` independent standard normals for the row with these key expressions.
 
-
-def gaussian_array(width: int, seed: int, *keys: Column) -> Column:
-    """Array of ``width`` independent standard normals for the row with these keys."""
+    Built as one SQL expression: a sketch has hundreds of terms, and one parsed text is far
+    cheaper to set up than as many column objects.
+    """
     if width < 0:
         raise ValueError(f"width must be >= 0, got {width}")
+    if not width:
+        return F.expr("cast(array() as array<double>)")
+    text = ", ".join(f"cast({k} as string)" for k in keys)
     out = []
     for q in range((width + 3) // 4):
-        text = F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys], F.lit(str(q)))
-        digest = F.md5(text)
-        for pair in (0, 2):
-            radius = F.sqrt(F.lit(-2.0) * F.log(_uniform(digest, pair)))
-            angle = F.lit(2.0 * math.pi) * _uniform(digest, pair + 1)
-            out += [radius * F.cos(angle), radius * F.sin(angle)]
-    return F.array(*out[:width]) if width else F.array().cast("array<double>")
+        digest = f"md5(concat_ws(':', '{seed}', {text}, '{q}'))"
+        u = [
+            f"((cast(conv(substring({digest}, {8 * w + 1}, 8), 16, 10) as double) + 0.5D) / 4294967296.0D)"
+            for w in range(4)
+        ]
+        for w in (0, 2):
+            radius, angle = f"sqrt(-2.0D * ln({u[w]}))", f"({2.0 * math.pi!r}D * {u[w + 1]})"
+            out += [f"{radius} * cos({angle})", f"{radius} * sin({angle})"]
+    return F.expr(f"array({', '.join(out[:width])})")
 
 
 def sketch_width(k: int, p: int = 0) -> int:

@@ -132,15 +132,12 @@ class Grid:
 
     def morton(self, depth: int, prefix: str = "") -> Column:
         """Bit-interleaved key: sorting by it walks the boxes of one depth depth-first."""
-        terms = []
-        for bit in range(depth):
-            for a, k in enumerate(self.keys):
-                pos = bit * self.d + (self.d - 1 - a)
-                terms.append(F.shiftleft(F.shiftright(F.col(prefix + k), bit).bitwiseAND(F.lit(1)), pos))
-        out = F.lit(0).cast("bigint")
-        for t in terms:
-            out = out.bitwiseOR(t.cast("bigint"))
-        return out
+        terms = [
+            f"shiftleft(shiftright({prefix}{k}, {bit}) & 1L, {bit * self.d + self.d - 1 - a})"
+            for bit in range(depth)
+            for a, k in enumerate(self.keys)
+        ]
+        return F.expr(" | ".join(["0L", *terms]))
 
     def side(self, depth: Column) -> Column:
         """Number of cells per axis at ``depth`` as a double."""

@@ -27,9 +27,8 @@ RANK_CUT = 1e-7
 
 def _outer_sums(width: int, name: str) -> Column:
     """Upper triangle of the Gram matrix, row by row."""
-    return F.array(
-        *[F.sum(F.col(name)[p] * F.col(name)[q]) for p in range(width) for q in range(p, width)]
-    )
+    cells = [(p, q) for p in range(width) for q in range(p, width)]
+    return sum_arrays(len(cells), lambda at: f"{name}[{cells[at][0]}] * {name}[{cells[at][1]}]")
 
 
 def _square(flat: np.ndarray, width: int) -> np.ndarray:
@@ -42,13 +41,8 @@ def _square(flat: np.ndarray, width: int) -> np.ndarray:
 
 def _times(name: str, t: str, rows: int, cols: int) -> Column:
     """Row vector ``name`` times the flat ``rows x cols`` matrix ``t``."""
-    out = []
-    for c in range(cols):
-        term = F.col(name)[0] * F.col(t)[c]
-        for r in range(1, rows):
-            term = term + F.col(name)[r] * F.col(t)[r * cols + c]
-        out.append(term)
-    return F.array(*out)
+    terms = [" + ".join(f"{name}[{r}] * {t}[{r * cols + c}]" for r in range(rows)) for c in range(cols)]
+    return F.expr(f"array({', '.join(terms)})")
 
 
 def _transforms(gram: DataFrame, block: Sequence[str], width: int, use: int, k: int) -> DataFrame:
@@ -123,14 +117,12 @@ def orth_report(basis: DataFrame, k: int, block: Sequence[str] = BLOCK, out: str
     gram = basis.groupBy(*block).agg(
         F.count(F.lit(1)).alias("n_rows"), F.max("k_eff").alias("k_eff"), _outer_sums(k, out).alias("gram")
     )
-    ok = F.lit(True)
-    at = 0
-    for p in range(k):
-        for q in range(p, k):
-            want = F.when(F.col("k_eff") > p, 1.0).otherwise(0.0) if p == q else F.lit(0.0)
-            ok = ok & (F.abs(F.col("gram")[at] - want) <= F.lit(tol))
-            at += 1
-    return gram.select(*block, "n_rows", "k_eff", ok.alias("orth_ok"))
+    cells = [(p, q) for p in range(k) for q in range(p, k)]
+    tests = [
+        f"abs(gram[{at}] - {f'if(k_eff > {p}, 1.0D, 0.0D)' if p == q else '0.0D'}) <= {tol!r}D"
+        for at, (p, q) in enumerate(cells)
+    ]
+    return gram.select(*block, "n_rows", "k_eff", F.expr(" AND ".join(tests)).alias("orth_ok"))
 
 
 def two_sample_compress(
@@ -152,14 +144,14 @@ def core_matrix(
     small products are sums over rows; only they are solved, one row per block.
     """
     block = list(block)
-    left = u.withColumn("gs", gaussian_array(width, seed_u, F.col("depth"), F.col("i")))
-    right = v.withColumn("gs", gaussian_array(width, seed_v, F.col("depth"), F.col("j")))
+    left = u.withColumn("gs", gaussian_array(width, seed_u, "depth", "i"))
+    right = v.withColumn("gs", gaussian_array(width, seed_v, "depth", "j"))
     lhs = left.groupBy(*block).agg(
-        F.array(*[F.sum(F.col("gs")[p] * F.col("us")[c]) for p in range(width) for c in range(k)]).alias("gu"),
-        F.array(*[F.sum(F.col("gs")[p] * F.col("ys")[q]) for p in range(width) for q in range(width)]).alias("gy"),
+        sum_arrays(width * k, lambda at: f"gs[{at // k}] * us[{at % k}]").alias("gu"),
+        sum_arrays(width * width, lambda at: f"gs[{at // width}] * ys[{at % width}]").alias("gy"),
     )
     rhs = right.groupBy(*block).agg(
-        F.array(*[F.sum(F.col("vs")[c] * F.col("gs")[q]) for c in range(k) for q in range(width)]).alias("vg")
+        sum_arrays(k * width, lambda at: f"vs[{at // width}] * gs[{at % width}]").alias("vg")
     )
     joined = lhs.join(rhs, block)
     fields = {f.name: f.dataType.simpleString() for f in joined.schema.fields}

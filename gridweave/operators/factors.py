@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.durable import cut_lineage
@@ -41,7 +41,7 @@ class Factors:
 
     def transposed(self) -> Factors:
         flip = [F.col("depth"), F.col("b").alias("a"), F.col("a").alias("b")]
-        core = F.array(*[F.col("core")[q * self.k + p] for p in range(self.k) for q in range(self.k)])
+        core = F.expr(f"array({', '.join(f'core[{q * self.k + p}]' for p in range(self.k) for q in range(self.k))})")
         return Factors(
             self.v.select(*flip, F.col("j").alias("i"), F.col("vs").alias("us")),
             self.core.select(*flip, core.alias("core")),
@@ -71,11 +71,8 @@ class Factors:
         )
 
 
-def _dot(left: Column, right: Column, k: int, at: int = 0, other: int = 0) -> Column:
-    out = left[at] * right[other]
-    for c in range(1, k):
-        out = out + left[at + c] * right[other + c]
-    return out
+def _dot(left: str, right: str, k: int, at: int = 0, other: int = 0) -> str:
+    return " + ".join(f"{left}[{at + c}] * {right}[{other + c}]" for c in range(k))
 
 
 def apply_truncated_thick(
@@ -92,16 +89,16 @@ def apply_truncated_thick(
     # A column is in at most 6^d blocks per depth, so this join has no hot keys.
     met = join_vector(factors.v, vec, "j", block, doubles)
     short = met.groupBy(*block, *by).agg(
-        F.array(*[F.sum(F.col("vs")[c] * F.col("xs")[w]) for w in range(width) for c in range(k)]).alias("s")
+        sum_arrays(width * k, lambda at: f"vs[{at % k}] * xs[{at // k}]").alias("s")
     )
     mixed = short.join(factors.core, block).select(
         *block,
         *by,
-        F.array(*[_dot(F.col("core"), F.col("s"), k, c * k, w * k) for w in range(width) for c in range(k)]).alias("t"),
+        F.expr(f"array({', '.join(_dot('core', 's', k, c * k, w * k) for w in range(width) for c in range(k))})").alias("t"),
     )
     spread = skew_join(factors.u, mixed, block, ["i"], factors.hot_u)
     return spread.groupBy(*by, "i").agg(
-        sum_arrays(width, lambda w: _dot(F.col("us"), F.col("t"), k, 0, w * k)).alias("ys")
+        sum_arrays(width, lambda w: _dot("us", "t", k, 0, w * k)).alias("ys")
     )
 
 
@@ -144,6 +141,6 @@ def peeled_matvec_thick(
         return full
     minus = apply_truncated_thick(factors, vec, width, by)
     both = full.select(*by, "i", "ys").unionByName(
-        minus.select(*by, "i", F.array(*[-F.col("ys")[c] for c in range(width)]).alias("ys"))
+        minus.select(*by, "i", F.transform("ys", lambda y: -y).alias("ys"))
     )
-    return both.groupBy(*by, "i").agg(sum_arrays(width, lambda c: F.col("ys")[c]).alias("ys"))
+    return both.groupBy(*by, "i").agg(sum_arrays(width, lambda c: f"ys[{c}]").alias("ys"))

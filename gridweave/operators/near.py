@@ -121,10 +121,19 @@ def tiles(places: DataFrame, grid: Grid, depth: int, payload: Sequence[str]) ->
         "depth", "loc", *grid.axes, *payload, *grid.coarsen(F.lit(depth) - F.col("depth"))
     ).withColumn("box", grid.code(F.col("depth")))
     ranked = running_total(boxed, ["depth", "box"], "loc", F.lit(1), "_rank")
+    at = ", ".join(f"m.{ax}" for ax in grid.axes)
     return (
         ranked.withColumn("tile", F.floor(F.col("_rank") / F.lit(TILE)).cast("int"))
         .groupBy("depth", "box", "tile")
-        .agg(F.collect_list(F.struct("loc", F.array(*grid.axes).alias("at"), *payload)).alias("members"))
+        .agg(F.collect_list(F.struct("loc", *grid.axes, *payload)).alias("m"))
+        .select(
+            "depth",
+            "box",
+            "tile",
+            F.col("m.loc").alias("locs"),
+            F.expr(f"flatten(transform(m, m -> array({at})))").alias("at"),
+            *[F.flatten(F.col(f"m.{name}")).alias(name) for name in payload],
+        )
     )
 
 
@@ -140,9 +149,13 @@ def tile_pairs(pairs: DataFrame, tile: DataFrame, grid: Grid) -> DataFrame:
     for side in ("a", "b"):
         light = light.join(counts.select("depth", F.col("box").alias(side), F.col("tiles").alias(f"{side}_n")), ["depth", side])
         light = light.withColumn(f"{side}_tile", F.explode(F.sequence(F.lit(0), F.col(f"{side}_n") - 1))).drop(f"{side}_n")
+    held = [c for c in tile.columns if c not in ("depth", "box", "tile")]
     for side in ("a", "b"):
         heavy = tile.select(
-            "depth", F.col("box").alias(side), F.col("tile").alias(f"{side}_tile"), F.col("members").alias(f"{side}_m")
+            "depth",
+            F.col("box").alias(side),
+            F.col("tile").alias(f"{side}_tile"),
+            *[F.col(c).alias(f"{side}_{c}") for c in held],
         )
         light = light.join(heavy, ["depth", side, f"{side}_tile"])
     return light
@@ -151,38 +164,31 @@ def tile_pairs(pairs: DataFrame, tile: DataFrame, grid: Grid) -> DataFrame:
 def kernel_block_product(joined: DataFrame, grid: Grid, eps: float, width: int, source: str, adjoint: bool) -> DataFrame:
     """Per block, kernel times the source weights, summed per target location.
 
-    ``joined`` comes from ``tile_pairs`` and the members carry ``source``, an array of
-    ``dof * width`` weights.  A tile pair yields one partial row per target, never one per
-    pair of points; Spark adds up the partial rows.  The result has
-    ``(depth, a, b, loc, acc)``, ``loc`` in ``a``; ``adjoint`` applies the transposed blocks,
-    so weights follow the row components and sums the column components.
+    ``joined`` comes from ``tile_pairs`` and its tiles carry ``source``, ``dof * width``
+    weights per location.  A tile pair yields one partial row per target, never one per pair
+    of points; Spark adds up the partial rows.  The result has ``(depth, a, b, loc, acc)``,
+    ``loc`` in ``a``; ``adjoint`` applies the transposed blocks, so weights follow the row
+    components and sums the column components.
     """
     d, dof = grid.d, (grid.dof_col if adjoint else grid.dof_row)
     weights = grid.dof_row if adjoint else grid.dof_col
+    # The block is even in x - y, so its transpose swaps components only.
+    rule = "iajc,jaw->icw" if adjoint else "iajc,jcw->iaw"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keys, locs, sums = [], [], []
-            for depth, a, b, am, bm in zip(pdf["depth"], pdf["a"], pdf["b"], pdf["a_m"], pdf["b_m"]):
-                x = np.array([m["at"] for m in am], dtype=float)
-                y = np.array([m["at"] for m in bm], dtype=float)
-                w = np.array([m[source] for m in bm], dtype=float).reshape(len(bm), weights, width)
-                k = kernel_tile(x, y, eps)
-                if adjoint:
-                    # The block is even in x - y, so its transpose swaps components only.
-                    acc = np.einsum("iajc,jaw->icw", k, w)
-                else:
-                    acc = np.einsum("iajc,jcw->iaw", k, w)
-                locs += [m["loc"] for m in am]
-                keys += [(depth, a, b)] * len(am)
-                sums += list(acc.reshape(len(am), dof * width))
-            out = pd.DataFrame(keys, columns=["depth", "a", "b"])
-            yield out.assign(loc=locs, part=sums)
-
-    need = joined.select("depth", "a", "b", "a_m", "b_m")
-    parts = need.mapInPandas(run, "depth int, a long, b long, loc long, part array<double>")
-    return parts.groupBy("depth", "a", "b", "loc").agg(
-        sum_arrays(dof * width, lambda c: F.col("part")[c]).alias("acc")
+            parts = []
+            for at, other, weight in zip(pdf["a_at"], pdf["b_at"], pdf["w"]):
+                k = kernel_tile(np.reshape(at, (-1, d)), np.reshape(other, (-1, d)), eps)
+                parts.append(np.einsum(rule, k, np.reshape(weight, (-1, weights, width)), optimize=True).ravel())
+            yield pdf[["depth", "a", "b", "a_locs"]].assign(part=parts)
+
+    need = joined.select("depth", "a", "b", "a_locs", "a_at", "b_at", F.col(f"b_{source}").alias("w"))
+    parts = need.mapInPandas(run, "depth int, a long, b long, a_locs array<long>, part array<double>")
+    rows = parts.select("depth", "a", "b", "part", F.posexplode("a_locs").alias("pos", "loc"))
+    size = dof * width
+    return rows.groupBy("depth", "a", "b", "loc").agg(
+        sum_arrays(size, lambda c: f"part[pos * {size} + {c}]").alias("acc")
     )
 
 
@@ -205,7 +211,7 @@ def kernel_pairs_matvec(
     places = at_depths(weights_by_location(points, grid, vec), depth)
     tile = tiles(places, grid, depth, ["ws"])
     blocks = kernel_block_product(tile_pairs(pairs, tile, grid), grid, eps, 1, "ws", adjoint=False)
-    per_loc = blocks.groupBy("loc").agg(sum_arrays(grid.dof_row, lambda c: F.col("acc")[c]).alias("ys"))
+    per_loc = blocks.groupBy("loc").agg(sum_arrays(grid.dof_row, lambda c: f"acc[{c}]").alias("ys"))
     return (
         to_patches(per_loc, points, grid, ["ys"])
         .select("id", F.posexplode("ys").alias("r", "y"))

@@ -6,7 +6,7 @@ row of a vector is a zero.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -53,15 +53,15 @@ def rmatvec(matrix: DataFrame, vec: DataFrame, vec_rows: int | None = None, hot:
     return matvec(transpose(matrix), vec.withColumnRenamed("i", "j"), vec_rows, hot).withColumnRenamed("i", "j")
 
 
-def sum_arrays(width: int, term) -> Column:
-    """Aggregate of ``width`` sums packed as an array; ``term(c)`` is the c-th summand."""
-    return F.array(*[F.sum(term(c)) for c in range(width)])
+def sum_arrays(width: int, term: Callable[[int], str]) -> Column:
+    """Aggregate of ``width`` sums packed as an array; ``term(c)`` is the c-th summand in SQL."""
+    return F.expr(f"array({', '.join(f'sum({term(c)})' for c in range(width))})")
 
 
 def matvec_thick(matrix: DataFrame, vec: DataFrame, width: int, by: Sequence[str] = (), vec_rows: int | None = None) -> DataFrame:
     """``A X`` for a thick vector ``(j, xs)``, as ``(i, ys)``; ``by`` keeps extra vector columns apart."""
     met = join_vector(matrix, vec, "j", ["i"], None if vec_rows is None else vec_rows * width)
-    return met.groupBy(*by, "i").agg(sum_arrays(width, lambda c: F.col("v") * F.col("xs")[c]).alias("ys"))
+    return met.groupBy(*by, "i").agg(sum_arrays(width, lambda c: f"v * xs[{c}]").alias("ys"))
 
 
 def rmatvec_thick(matrix: DataFrame, vec: DataFrame, width: int, by: Sequence[str] = (), vec_rows: int | None = None) -> DataFrame:
@@ -112,7 +112,7 @@ def block_spectrum(rows: DataFrame, block: str, values: str, width: int) -> Data
 
     parts = rows.select(block, values).mapInPandas(partial, f"`{block}` {kind}, p int, g array<double>, n long")
     summed = parts.groupBy(block, "p").agg(
-        F.sum("n").alias("n"), sum_arrays(width, lambda c: F.col("g")[c]).alias("g")
+        F.sum("n").alias("n"), sum_arrays(width, lambda c: f"g[{c}]").alias("g")
     )
     packed = summed.groupBy(block).agg(F.max("n").alias("n"), F.collect_list(F.struct("p", "g")).alias("grams"))
     return packed.mapInPandas(spectrum, f"`{block}` {kind}, n_rows long, sigma array<double>")

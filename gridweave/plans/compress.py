@@ -85,16 +85,16 @@ def leaf_blocks(entries: DataFrame) -> DataFrame:
 # -- samples ---------------------------------------------------------------
 def entry_samples(entries: DataFrame, width: int, seed: int = COL_SEED) -> DataFrame:
     """Column samples ``A_ab G_b`` of every interaction block: ``(depth, a, b, i, ys)``."""
-    gs = gaussian_array(width, seed, F.col("depth"), F.col("j"))
+    gs = gaussian_array(width, seed, "depth", "j")
     far = entries.where("far").select(*BLOCK, "i", "v", gs.alias("gs"))
-    return far.groupBy(*BLOCK, "i").agg(sum_arrays(width, lambda c: F.col("v") * F.col("gs")[c]).alias("ys"))
+    return far.groupBy(*BLOCK, "i").agg(sum_arrays(width, lambda c: f"v * gs[{c}]").alias("ys"))
 
 
 def entry_row_samples(entries: DataFrame, width: int, seed: int = ROW_SEED) -> DataFrame:
     """Row samples ``A_ab^T G_a``: ``(depth, a, b, j, ys)``."""
-    gs = gaussian_array(width, seed, F.col("depth"), F.col("i"))
+    gs = gaussian_array(width, seed, "depth", "i")
     far = entries.where("far").select(*BLOCK, "j", "v", gs.alias("gs"))
-    return far.groupBy(*BLOCK, "j").agg(sum_arrays(width, lambda c: F.col("v") * F.col("gs")[c]).alias("ys"))
+    return far.groupBy(*BLOCK, "j").agg(sum_arrays(width, lambda c: f"v * gs[{c}]").alias("ys"))
 
 
 def _owned(points: DataFrame, grid: Grid, depth: int, dof: int, out: str) -> DataFrame:
@@ -124,7 +124,7 @@ def level_sample(
     """
     dof = grid.dof_row if adjoint else grid.dof_col
     active = _owned(points, grid, depth, dof, "j")
-    sketch = active.select("pattern", "j", gaussian_array(width, seed, F.lit(depth), F.col("j")).alias("xs"))
+    sketch = active.select("pattern", "j", gaussian_array(width, seed, str(depth), "j").alias("xs"))
     source = transpose(matrix) if adjoint else matrix
     peeled = factors.transposed() if adjoint and factors is not None else factors
     return peeled_matvec_thick(source, sketch, width, peeled, ["pattern"])
@@ -180,11 +180,11 @@ def kernel_samples(
         "depth",
         "id",
         *grid.axes,
-        *[gaussian_array(width, seed, F.col("depth"), F.col("id") * source + c).alias(f"g{c}") for c in range(source)],
+        *[gaussian_array(width, seed, "depth", f"id * {source} + {c}").alias(f"g{c}") for c in range(source)],
     )
     places = drawn.groupBy("depth", *grid.axes).agg(
         F.min("id").alias("loc"),
-        F.array(*[F.sum(F.col(f"g{c}")[w]) for c in range(source) for w in range(width)]).alias("gs"),
+        sum_arrays(source * width, lambda at: f"g{at // width}[{at % width}]").alias("gs"),
     )
     tile = cut_lineage(near_ops.tiles(places, grid, depth, ["gs"]))
     joined = near_ops.tile_pairs(far, tile, grid)
