@@ -103,12 +103,13 @@ def block_orth(
     block = list(block)
     use = k if method == "qr" else width
     kept = [c for c in samples.columns if c not in block]
-    first = _transforms(gram_table(samples, block, width, "ys"), block, width, use, k).select(*block, "t")
+    # The small transforms are written, so that the joins see their size and may broadcast them.
+    first = cut_lineage(_transforms(gram_table(samples, block, width, "ys"), block, width, use, k).select(*block, "t"))
     hot = hot_table(samples, block)
     rough = cut_lineage(
         skew_join(samples, first, block, [row], hot).select(*block, *kept, _times("ys", "t", width, k).alias(out))
     )
-    second = _transforms(gram_table(rough, block, k, out), block, k, k, k).select(*block, "k_eff", "t")
+    second = cut_lineage(_transforms(gram_table(rough, block, k, out), block, k, k, k).select(*block, "k_eff", "t"))
     return skew_join(rough, second, block, [row], hot).select(*block, *kept, "k_eff", _times(out, "t", k, k).alias(out))
 
 

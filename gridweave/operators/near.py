@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridweave.durable import cut_lineage
 from gridweave.functions.geometry import distance
 from gridweave.functions.kernel import DEFAULT_EPS, kernel_block, kernel_tile
 from gridweave.grid import Grid
@@ -24,6 +25,8 @@ from gridweave.skew import hot_table, skew_join
 
 # Locations per tile of a dense kernel product.
 TILE = 256
+# Locations of one cell from which its pairs are spread.
+CROWDED = 5_000
 
 
 def locations(points: DataFrame, axes: Sequence[str]) -> DataFrame:
@@ -32,7 +35,13 @@ def locations(points: DataFrame, axes: Sequence[str]) -> DataFrame:
 
 
 def _met(place: DataFrame, keys: Sequence[str], axes: Sequence[str]) -> DataFrame:
-    """Unordered pairs of distinct locations in equal or touching cells, as ``a_*`` and ``b_*``."""
+    """Unordered pairs of distinct locations in equal or touching cells, as ``a_*`` and ``b_*``.
+
+    ``place`` is written first: both sides read it, and crowded cells are found in it, whose
+    pairs are spread over many tasks.
+    """
+    place = cut_lineage(place)
+    hot = hot_table(place, keys, CROWDED)
     cols = ["loc", "copies", *axes]
     right = place.select(*keys, *[F.col(c).alias(f"b_{c}") for c in cols])
     left = place.select(*keys, *[F.col(c).alias(f"a_{c}") for c in cols])
@@ -43,7 +52,7 @@ def _met(place: DataFrame, keys: Sequence[str], axes: Sequence[str]) -> DataFram
     ).drop(*keys)
     for k in keys:
         moved = moved.withColumnRenamed(f"m_{k}", k)
-    met = moved.join(right, list(keys)).where(~F.col("_own") | (F.col("a_loc") < F.col("b_loc")))
+    met = skew_join(moved, right, keys, ["a_loc"], hot).where(~F.col("_own") | (F.col("a_loc") < F.col("b_loc")))
     return met.drop("_own", *keys)
 
 

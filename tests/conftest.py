@@ -15,7 +15,7 @@ def spark():
     session = (
         SparkSession.builder.master("local[*]")
         .appName("gridweave-tests")
-        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.shuffle.partitions", "2")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")

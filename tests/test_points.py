@@ -76,7 +76,9 @@ def test_kernel_values(spark, make_points):
     assert got[0, 0] == pytest.approx((1e6, 0.0))
 
 
-def test_distance_join_against_brute_force(make_points):
+@pytest.mark.parametrize("crowded", [5_000, 4])
+def test_distance_join_against_brute_force(make_points, monkeypatch, crowded):
+    monkeypatch.setattr(near, "CROWDED", crowded)
     rng = np.random.default_rng(0)
     base = rng.uniform(-2, 2, (60, 2))
     coords = np.vstack([base, np.repeat(base[:1], 30, axis=0)])
