@@ -572,7 +572,7 @@ def hier_rmatvec(spark, sf):
 
 def compression_report(spark, sf):
     comp, held, _, grid = _compressed(spark, sf)
-    out = compress.compression_report(held, comp, grid, ITERS)
+    out = compress.compression_report(held, comp, grid, 5)
     return out.select("k", "n_near", "n_core", "n_full", (F.col("far_rel_error") < 1e-6).alias("exact"))
 
 
