@@ -67,7 +67,9 @@ def _box(mesh_of, spark: SparkSession, sf: str) -> tuple[DataFrame, Grid, int, D
 
 
 def _pairs(mesh_of, spark: SparkSession, sf: str) -> tuple[DataFrame, Grid, int, DataFrame, DataFrame]:
+    """Boxes are written, so that the points are read for them once."""
     pts, grid, depth, box = _box(mesh_of, spark, sf)
+    box = cut_lineage(box)
     return pts, grid, depth, box, pairs.block_pairs(box, grid)
 
 
@@ -167,7 +169,7 @@ def box_tight_bounds(spark, sf):
 
 def leaf_membership(spark, sf):
     pts, grid, depth, box = _box(_events, spark, sf)
-    return boxes.leaf_membership(pts, boxes.leaf_boxes(box, grid, LEAF, depth), grid, depth)
+    return boxes.leaf_membership(pts, boxes.leaf_boxes(cut_lineage(box), grid, LEAF, depth), grid, depth)
 
 
 def boxes_at_depth(spark, sf):
