@@ -17,10 +17,11 @@ from gridweave.llm.common import worker_store
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SEGMENT = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 WORD = re.compile(f"[^{_WS}]")
+_UNIT = re.compile(f" ?[^{_WS}]+")
 _RARE = re.compile("[\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SLICE = 1 << 20
 # Entries of a worker's dictionary; past them it starts anew.
-MOST_CACHED = 400_000
+MOST_CACHED = 1_000_000
 
 
 def default_path() -> str:
@@ -30,28 +31,35 @@ def default_path() -> str:
 
 
 class _Lookup(dict):
-    """Segment -> value, encoded on first sight.  ``made`` turns ids into the value; ``lead`` goes before each key."""
+    """Segment -> value, encoded on first sight.  ``made`` turns packed ids into the value; ``lead`` goes before each key."""
 
-    def __init__(self, tokenizer, made: Callable, lead: str = ""):
+    def __init__(self, tokenizer, made: Callable[[bytes], object], lead: str = ""):
         super().__init__()
         self.tokenizer, self.made, self.lead = tokenizer, made, lead
+        (self.line_id,) = tokenizer.encode("\n", add_special_tokens=False).ids
 
     def __missing__(self, key: str):
         if len(self) >= MOST_CACHED:
             self.clear()
-        value = self.made(self.tokenizer.encode(self.lead + key, add_special_tokens=False).ids)
+        value = self.made(np.asarray(self.tokenizer.encode(self.lead + key, add_special_tokens=False).ids, "<u4").tobytes())
         self[key] = value
         return value
 
-    def learn(self, keys) -> None:
-        """Encode unseen keys together, which is several times faster than one by one."""
-        new = list(set(keys) - self.keys())
-        if len(new) > 1:
-            if len(self) + len(new) >= MOST_CACHED:
-                self.clear()
-                new = list(set(keys))
-            done = self.tokenizer.encode_batch_fast([self.lead + k for k in new], add_special_tokens=False)
-            self.update(zip(new, (self.made(e.ids) for e in done), strict=True))
+    def learn(self, keys: set[str]) -> None:
+        """Encode unseen keys many at a time: a line feed between words is a token of its own that no word holds."""
+        new = list(keys - self.keys())
+        if len(self) + len(new) >= MOST_CACHED:
+            self.clear()
+            new = list(keys)
+        new = [k for k in new if _UNIT.fullmatch(k)]
+        groups = [new[i : i + 512] for i in range(0, len(new), 512)]
+        between = "\n" + self.lead
+        for keys_, done in zip(groups, self.tokenizer.encode_batch_fast([self.lead + between.join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.asarray(done.ids, "<u4")
+            raw, at = ids.tobytes(), 0
+            for key, end in zip(keys_, [*(np.flatnonzero(ids == self.line_id) * 4).tolist(), len(raw)], strict=True):
+                self[key] = self.made(raw[at:end])
+                at = end + 4
 
 
 def _tokenizer(path: str):
@@ -65,16 +73,12 @@ def _tokenizer(path: str):
     return found
 
 
-def _packed(ids: list[int]) -> bytes:
-    return np.asarray(ids, "<u4").tobytes()
-
-
 def lookups(path: str) -> dict:
     """The worker's dictionaries for one vocabulary file: packed ids of a segment, with and without a leading space, and counts."""
     store = worker_store(f"bpe {path}")
     if not store:
         t = _tokenizer(path)
-        store.update(plain=_Lookup(t, _packed), spaced=_Lookup(t, _packed, " "), count=_Lookup(t, len))
+        store.update(plain=_Lookup(t, bytes), spaced=_Lookup(t, bytes, " "), count=_Lookup(t, lambda raw: len(raw) // 4))
     return store
 
 
@@ -92,25 +96,50 @@ def _slices(text: str) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+def _lines(part: str) -> list[list[str]] | None:
+    """Words by line if every white space of ``part`` is one character between two words; else None."""
+    if "  " in part or "\n " in part or " \n" in part or "\n\n" in part or "\t" in part or part[-1:] == " " or _RARE.search(part):
+        return None
+    return [line.split(" ") for line in part.split("\n")]
+
+
 def encode(text: str, store: dict) -> bytes:
     """Ids of ``text`` as little-endian unsigned 32-bit numbers, exactly as the tokenizer gives them."""
+    return encode_all([text], store)[0]
+
+
+def encode_all(texts: list[str], store: dict) -> list[bytes]:
+    """``encode`` of several texts; their unseen words are encoded together."""
+    plain, spaced = store["plain"], store["spaced"]
+    parts = [[(p, _lines(p)) for p in _slices(t)] for t in texts]
+    first, rest = set(), set()
+    for lines in (x for p in parts for _, x in p if x):
+        for words in lines:
+            first.add(words[0])
+            rest.update(words[1:])
+    plain.learn(first)
+    spaced.learn(rest)
+    del first, rest
+    line_feed = plain["\n"]
     out = []
-    for part in _slices(text):
-        if "  " in part or "\n " in part or "\t " in part or _RARE.search(part):
-            segments = SEGMENT.findall(part)
-            out += map(store["plain"].__getitem__, segments)
-        else:  # each space here stands before a word or before white space that ends at it
-            first, *rest = part.split(" ")
-            if first:
-                out.append(store["plain"][first])
-            out += map(store["spaced"].__getitem__, rest)
-    return b"".join(out)
-
-
-def learn(texts: list[str], store: dict) -> None:
-    """Meet the words of a batch of texts at once."""
-    words: set[str] = set()
-    for t in texts:
-        if len(t) <= _SLICE:
-            words.update(t.split(" "))
-    store["spaced"].learn(words)
+    for text in parts:
+        raw: list[bytes] = []
+        for part, lines in text:
+            if lines is None:
+                raw += map(plain.__getitem__, SEGMENT.findall(part))
+                continue
+            if part[0:1] == " ":  # a slice begins at a space
+                lines[0] = lines[0][1:]
+                raw.append(spaced[lines[0].pop(0)])
+                raw += map(spaced.__getitem__, lines[0])
+                lines = lines[1:]
+                if lines:
+                    raw.append(line_feed)
+            for k, (head, *tail) in enumerate(lines):
+                if k:
+                    raw.append(line_feed)
+                if head:
+                    raw.append(plain[head])
+                raw += map(spaced.__getitem__, tail)
+        out.append(b"".join(raw))
+    return out

@@ -27,7 +27,7 @@ class CountTree:
     @classmethod
     def of(cls, text: str, count: dict, block: int = BLOCK) -> CountTree:
         parts = bpe.SEGMENT.findall(text)
-        count.learn(parts)
+        count.learn(set(parts))
         return cls(text, *_leaves(parts, count, block), block)
 
     def _build(self, chars: list[int], tokens: list[int]) -> None:
@@ -92,7 +92,7 @@ class CountTree:
                 break
             last += 1
             old_end += self.chars[last + self.size]
-        count.learn(parts)
+        count.learn(set(parts))
         self.encoded += len(parts)
         room = last - first + 1
         per_leaf = -(-len(parts) // room)
@@ -124,7 +124,7 @@ def count_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         chars, tokens, n = [], [], []
         for text in given["text"]:
             parts = bpe.SEGMENT.findall(text)
-            count.learn(parts)
+            count.learn(set(parts))
             c, t = _leaves(parts, count, block)
             chars.append(c)
             tokens.append(t)

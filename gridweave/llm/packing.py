@@ -159,9 +159,8 @@ def pack(
                     chars += len(given["text"][upto])
                     upto += 1
                 texts = given["text"][at:upto]
-                bpe.learn(texts, store)
-                for doc, text in zip(given["doc_id"][at:upto], texts, strict=True):
-                    packer.add(doc, bpe.encode(text, store) + end)
+                for doc, ids in zip(given["doc_id"][at:upto], bpe.encode_all(texts, store), strict=True):
+                    packer.add(doc, ids + end)
                 packer.settle()
                 yield packer.take()
                 at = upto
