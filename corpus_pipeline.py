@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.durable import checkpoint_folder, cut_lineage
-from gridweave.llm import decontaminate, neardup, packing, quality, secrets
+from gridweave.llm import decontaminate, neardup, packing, quality, secret_spans
 from gridweave.llm.common import read
 
 # No SQL: models, alignment and tokenization have none.
@@ -45,7 +45,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked and ``n_chars`` of the new text."""
-    masked = secrets.redact(docs)
+    masked = secret_spans.redact(docs)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm import counting, decontaminate, html_text, neardup, packing, quality, rules, secrets, toxicity
+from gridweave.llm import counting, decontaminate, html_text, katz, neardup, packing, quality, rules, secret_spans, toxicity
 from gridweave.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, graded))
 
 
+def op3_katz_backoff(spark: SparkSession, sf: str) -> DataFrame:
+    return katz.score(read(spark, sf, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(read(spark, sf, "documents"))
 
@@ -54,11 +58,11 @@ def op9_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf: str) -> DataFrame:
-    return secrets.scan(read(spark, sf, "documents"))
+    return secret_spans.scan(read(spark, sf, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_token_counts, op2_toxicity, op4_packing, op5_decontamination, op6_near_duplicates, op7_line_frequency, op8_html_extraction, op9_quality, op10_secrets]
+    found = [op1_token_counts, op2_toxicity, op3_katz_backoff, op4_packing, op5_decontamination, op6_near_duplicates, op7_line_frequency, op8_html_extraction, op9_quality, op10_secrets]
     return {f.__name__: f for f in found}
 
 
