@@ -16,6 +16,7 @@ The word before the first one of a text is the end token.
 
 from __future__ import annotations
 
+import gc
 import math
 import zlib
 from collections.abc import Iterator
@@ -33,9 +34,9 @@ from gridweave.llm.common import Columns, id_text, map_columns
 
 # Counts up to this one are discounted.
 CUT = 5
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_500_000
 # n-grams that a partition should hold at most, and the share of them from which a history is spread.
-PART_ROWS = 2_000_000
+PART_ROWS = 1_000_000
 HOT_SHARE = 0.1
 
 _U = np.uint64
@@ -235,7 +236,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
         yield from _answers(group, sums[at].astype("<u4"), 0)
         yield {"part": group[0]["part"], "chunk": None, "kind": 9, "data": [np.array([int((sums > 0).sum()), *_histogram(sums)], "<i8").tobytes()]}
 
-    known = cut_lineage(_grouped(_sent(rows, ask_words), "part", add_words))
+    known = _written(_grouped(_sent(rows, ask_words), "part", add_words))
     distinct, *counts = _sum_stats(known, CUT + 2)
     uni = Unigrams.of(total, distinct, counts)
 
@@ -270,7 +271,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
             yield {"part": q, "chunk": None, "kind": 8, "data": [of[own].tobytes(), _pack(np.stack([t[own] for t in table]).astype("<f8"))]}
 
     with_words = rows.unionByName(known.where("kind = 0"))
-    paired = cut_lineage(_grouped(_grouped(with_words, "chunk", ask_pairs), "part", add_pairs))
+    paired = _written(_grouped(_grouped(with_words, "chunk", ask_pairs), "part", add_pairs))
     _, *pair_counts = _sum_stats(paired, CUT + 2)
     d2 = np.array([*discounts(pair_counts), 1.0])
 
@@ -298,7 +299,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
             yield {"part": r["part"], "chunk": r["chunk"], "kind": 2, "data": [_pack(both.astype("<f8"))]}
 
     asked = _sent(rows, ask_histories).unionByName(paired.where("kind = 8"))
-    weights = cut_lineage(_grouped(asked, "part", weigh))
+    weights = _written(_grouped(asked, "part", weigh))
 
     def finish(group: list[dict]) -> Iterator[dict]:
         own, c = _chunk_with(group, parts)
@@ -346,6 +347,14 @@ def backoff(t: np.ndarray, d2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (1 - kept * scale) / np.maximum(1 - t[CUT + 1], 1e-12), scale
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` as a table; the shuffle files of its making are no longer referred to and may go."""
+    out = cut_lineage(df)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def _sent(rows: DataFrame, ask) -> DataFrame:
     def make():
         def work(given: Columns | None) -> Iterator[Columns]:
