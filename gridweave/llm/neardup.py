@@ -1,8 +1,8 @@
 """Near duplicates by SuperMinHash signatures, banding, verification on full sets and union of the links.
 
-Equal sets are one node from the start.  In each band a node is compared with the smallest node of
-its bucket, so a group of copies gives as many pairs as it has members; only nodes that are still
-apart after that are compared with each other.
+Equal sets are one node from the start.  In each band a node is compared with the
+most shared node of its bucket, so a group of copies gives as many pairs as it has members; then so
+are the components of a bucket, and only nodes that are still apart are compared with each other.
 """
 
 from __future__ import annotations
@@ -215,6 +215,14 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def _star(rows: DataFrame) -> DataFrame:
+    """Pairs of each bucket's most shared node (a) with that of every other component in the bucket (b)."""
+    top = F.max(F.struct("fame", "node"))
+    shown = rows.groupBy("band", "component").agg(top.alias("top")).select("band", "component", "top.fame", "top.node")
+    center = shown.groupBy("band").agg(F.max(F.struct("fame", "node")).alias("center")).select("band", F.col("center.node").alias("a"))
+    return shown.join(center, "band").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
 
@@ -236,11 +244,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .agg(F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("codes").alias("codes"))
     )
     banded = nodes.select("node", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    banded = cut_lineage(banded.join(shared, "band").select("band", "node", "center"))
-
-    stars = _alike(banded.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), nodes, similarity)
-    first = cut_lineage(stars.groupBy("b").agg(F.max(F.struct("agree", "a")).alias("best")).select("best.a", "b"))
+    sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    banded = cut_lineage(banded.join(sizes, "band"))
+    # What others were copied from shares more bands with them than they do with each other.
+    fame = cut_lineage(banded.groupBy("node").agg(F.sum("size").alias("fame")))
+    banded = cut_lineage(banded.join(fame, "node").select("band", "node", "fame"))
     texts = id_text(docs, id_col, text_col).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_key"), "text")
 
     def of(pairs: DataFrame) -> DataFrame:
@@ -248,11 +256,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "id", "text_key"), "node")
         return texts.join(needed, ["id", "text_key"]).groupBy("id", "text_key", "node").agg(F.first("text").alias("text")).select("node", "text")
 
+    def labelled(comp: DataFrame) -> DataFrame:
+        """Rows of buckets that still hold several components."""
+        rows = banded.join(comp, "node", "left").select("band", "node", "fame", F.coalesce("component", "node").alias("component"))
+        mixed = rows.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
+        return cut_lineage(rows.join(mixed, "band", "left_semi"))
+
+    stars = _alike(_star(banded.withColumn("component", F.col("node"))), nodes, similarity)
+    first = cut_lineage(stars.groupBy("b").agg(F.max(F.struct("agree", "a")).alias("best")).select("best.a", "b"))
     links = cut_lineage(verified(first, of(first), similarity))
-    comp = components(links)
-    labelled = banded.join(comp, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-    open_ = cut_lineage(labelled.join(mixed, "band", "left_semi"))
+    again = cut_lineage(_alike(_star(labelled(components(links))), nodes, similarity))
+    links = cut_lineage(links.unionByName(verified(again, of(again), similarity)))
+    open_ = labelled(components(links))
     x = open_.select("band", F.col("node").alias("a"), F.col("component").alias("ka"))
     y = open_.select("band", F.col("node").alias("b"), F.col("component").alias("kb"))
     cross = x.join(y, "band").where("a < b and ka <> kb").select("a", "b").distinct()
