@@ -85,7 +85,7 @@ def signatures(sets: list[np.ndarray], size: int = SIZE) -> np.ndarray:
     if open_.any():
         on = open_[owner]
         h, owner, k = h[on], owner[on], k[on]
-        places = np.tile(np.arange(size, dtype=np.uint8), (len(h), 1))
+        places = np.tile(np.arange(size, dtype=np.uint8 if size <= 256 else np.uint16), (len(h), 1))
         each = np.arange(len(h))
         places[each, 0], places[each, k] = k, 0
         for level in range(1, size):

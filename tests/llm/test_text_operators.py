@@ -1,0 +1,220 @@
+"""The text operators against brute force, on small tables with nulls, empty, long and repeated texts."""
+
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gridweave.llm import bpe, counting, decontaminate, html_text, katz, mincut, neardup, packing, quality, rules, secret_spans, toxicity
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string"
+
+
+@pytest.fixture(scope="module")
+def rows():
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 6)))
+    base = [word() for _ in range(60)]
+    texts = [" ".join(base), " ".join([*base[:30], "changed", *base[31:]]), None, "", " \n ", "one two", "ONE two", " ".join(word() for _ in range(3000))]
+    texts += ["\n".join(" ".join(word() for _ in range(9)) for _ in range(8)) + "\nshared line of all" for _ in range(12)]
+    texts += ['my password is x7Gq!2kLz09 and token = "f3ef4d6b2755a36d7d9c25bd72c4d5f6"', texts[0]]
+    out = [(i, t, "en" if i % 3 else None, f"s{i % 2}" if i % 5 else None, len(t or ""), 0.5, "x") for i, t in enumerate(texts)]
+    return [*out, out[0], (None, "a null id", None, None, 9, 0.1, "y")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def _ids(store, text):
+    return np.frombuffer(bpe.encode(text, store), "<u4").tolist()
+
+
+def test_ids_equal_the_tokenizer():
+    store = bpe.lookups(bpe.default_path())
+    plain = bpe._tokenizer(bpe.default_path())
+    r = random.Random(1)
+    parts = [" ", "  ", "\n", "\t", "a", "it's", "'ll", "éa", "1", ".", "!!", "\xa0", "　", "\x1c", "\r\n", "日本", "word", "<|endoftext|>"]
+    for _ in range(400):
+        t = "".join(r.choice(parts) for _ in range(r.randrange(30)))
+        assert _ids(store, t) == plain.encode(t, add_special_tokens=False).ids
+
+
+def test_counts_after_edits_equal_a_new_count():
+    count = bpe.lookups(bpe.default_path())["count"]
+    r = random.Random(2)
+    parts = [" ", "\n", "a", "it's", "é1", "!!", " the", "   "]
+    for _ in range(150):
+        t = "".join(r.choice(parts) for _ in range(40))
+        tree = counting.CountTree.of(t, count, 3)
+        for _ in range(4):
+            a, n, put = r.randrange(len(t) + 2), r.randrange(6), "".join(r.choice(parts) for _ in range(r.choice([0, 2, 30])))
+            tree.edit(a, n, put, count)
+            a = min(a, len(t))
+            t = t[:a] + put + t[a + n :]
+            assert tree.text == t
+            assert tree.n_tokens == counting.CountTree.of(t, count).n_tokens
+
+
+def test_count_query(docs, empty):
+    trees = counting.count_trees(docs)
+    after = counting.recount(counting.drawn_edits(trees)).collect()
+    store = bpe.lookups(bpe.default_path())
+    assert len(after) == docs.count()
+    assert all(r["n_tokens"] == len(_ids(store, r["text"])) for r in after)
+    assert counting.count_trees(empty).count() == 0
+
+
+def test_packing_round_trip(docs, empty, rows):
+    store = bpe.lookups(bpe.default_path())
+    ids = {d: [*_ids(store, t or ""), 0] for d, t, *_ in rows}
+    found = packing.pack(docs, window=64, smallest=16).collect()
+    windows, cover = {}, {}
+    for p in found:
+        own = ids[p["doc_id"]][p["start"] : p["start"] + p["length"]]
+        assert zlib.crc32(np.asarray(own, "<u4").tobytes()) == p["ids_crc32"]
+        assert p["doc_tokens"] == len(ids[p["doc_id"]])
+        windows.setdefault(p["sequence_id"], []).append((p["offset"], p["length"], p["window"]))
+        cover[p["doc_id"]] = cover.get(p["doc_id"], 0) + p["length"]
+    assert all(n == len(ids[d]) * (2 if d == 0 else 1) for d, n in cover.items()) and set(cover) == set(ids)
+    for parts in windows.values():
+        at = 0
+        for offset, length, _ in sorted(parts):
+            assert offset == at
+            at += length
+        assert at == parts[0][2]
+    assert packing.pack(empty).count() == 0
+
+
+def test_katz_against_counts(docs, empty, rows):
+    found = {r["doc_id"]: r for r in katz.score(docs, chunk_tokens=300, part_rows=700).collect()}
+    uni, bi = {}, {}
+    words = lambda t: [*(t or "").encode().lower().split(), 0]
+    for d, t, *_ in rows:
+        if d is None or zlib.crc32(str(d).encode()) % 10:
+            w = words(t)
+            for a, b in zip([0, *w], w, strict=False):
+                uni[b] = uni.get(b, 0) + 1
+                bi[a, b] = bi.get((a, b), 0) + 1
+    total, top = sum(uni.values()), katz.CUT + 1
+    model = katz.Unigrams.of(total, len(uni), [sum(c == r for c in uni.values()) for r in range(1, top + 1)])
+    d2 = [*katz.discounts([sum(c == r for c in bi.values()) for r in range(1, top + 1)]), 1.0]
+    p = lambda w: float(model.p(np.array([uni.get(w, 0)]))[0])
+    kept, lower = {}, {}
+    for (h, w), c in bi.items():
+        kept[h] = kept.get(h, 0) + d2[min(c, top)] * c / uni[h]
+        lower[h] = lower.get(h, 0) + p(w)
+    for d, t, *_ in rows:
+        w, s = words(t), 0.0
+        for h, x in zip([0, *w], w, strict=False):
+            scale = uni[h] / (uni[h] + 1) if kept.get(h, 0) >= 1 - 1e-12 else 1.0
+            back = (1 - kept[h] * scale) / (1 - lower[h]) if h in kept else 1.0
+            s += np.log10(d2[min(bi[h, x], top)] * bi[h, x] / uni[h] * scale if (h, x) in bi else back * p(x))
+        assert abs(found[d]["score"] - s) < 1e-6 * max(1, abs(s))
+        assert found[d]["n_known"] == sum(x in uni for x in w) and found[d]["train_tokens"] == total
+    assert katz.score(empty).count() == 0
+
+
+def test_near_duplicates_against_all_pairs(docs, empty, rows):
+    found = {r["doc_id"]: r for r in neardup.near_duplicates(docs).collect()}
+    sets = {d: set(neardup.shingles(t or "", neardup._WordHash()).tolist()) for d, t, *_ in rows if d is not None}
+    root = {d: d for d in sets}
+    for _ in root:
+        for a, b in itertools.combinations(sets, 2):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                root[a] = root[b] = min(root[a], root[b])
+    for d, want in root.items():
+        assert (found[d]["component_id"], found[d]["n_shingles"], found[d]["kept"]) == (want, len(sets[d]), want == d)
+    assert found[None]["component_id"] is None
+    assert neardup.near_duplicates(empty).count() == 0
+
+
+def test_signatures_estimate_similarity():
+    r = np.random.default_rng(1)
+    for n in (3, 40, 700):
+        both = r.integers(0, 2**63, 2 * n).astype(np.uint64)
+        a, b = neardup.signatures([np.unique(both[: 3 * n // 2]), np.unique(both[n // 2 :])], 1024)
+        assert abs((a == b).mean() - 0.5) < 0.1 and np.isfinite(a).all()
+
+
+def test_line_rules(docs, empty):
+    found = {r["doc_id"]: r for r in rules.judge(docs, min_docs=3, host_share=0.1).collect()}
+    assert found[2]["n_words"] == 0 and found[2]["base_failed"] and not found[2]["kept"]
+    assert found[8]["removed_chars"] == len("shared line of all") and found[8]["kept"]
+    assert found[10]["removed_chars"] == 0  # its host is null and has it twice
+    assert rules.judge(docs, min_docs=3, host_share=0.1, depleted=0.01).where("doc_id = 8 and kept").count() == 0
+    assert rules.judge(empty).count() == 0
+
+
+def test_repeated_words(spark):
+    text = "a b c x a b c d e f d e f"
+    df = spark.createDataFrame([(1, text, None)], "doc_id long, text string, source string")
+    w = text.split()
+    g = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    want = {i + k for i, x in enumerate(g) if g.count(x) > 1 for k in range(3)}
+    assert rules.judge(df).first()["n_repeat_words"] == len(want)
+
+
+def test_passages_are_found(spark, docs, empty):
+    item = "the quick brown fox jumps over one lazy dog while seven wizards quietly box their five jugs"
+    edited = item.replace("lazy", "sleepy").replace("wizards", "witches")
+    bench = spark.createDataFrame([(7, item), (8, None), (9, "two words")], "item_id long, text string")
+    more = docs.unionByName(spark.createDataFrame([(100, f"before it {edited} and after", None, None, 1, 0.0, "z")], SCHEMA))
+    blocks = decontaminate.matchers(more, bench)
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.matches(more, blocks).collect()] == [(100, 7)]
+    assert more.where(decontaminate.contaminated(blocks)).count() == 1
+    assert decontaminate.matches(empty, decontaminate.matchers(empty, bench)).count() == 0
+
+
+def test_minimum_cut_is_minimal():
+    r = random.Random(3)
+    for _ in range(150):
+        n = r.randrange(1, 8)
+        u = [r.uniform(-2, 2) for _ in range(n)]
+        e = [(r.randrange(n), r.randrange(n), r.uniform(0, 1.5)) for _ in range(r.randrange(12))]
+        cost = lambda x: sum(max(0, -a) if y else max(0, a) for a, y in zip(u, x, strict=True)) + sum(w for a, b, w in e if x[a] != x[b])  # noqa: E731, B023
+        assert abs(cost(mincut.split(u, e)) - min(map(cost, itertools.product([False, True], repeat=n)))) < 1e-6
+
+
+def test_main_text(spark):
+    page = "<nav><a href=/>Home</a></nav><div class='cookie-notice'>We use cookies.</div><article><h1>A &amp; B</h1><p>Some  text\nhere, long enough.<p>More.</article><footer>&copy; us</footer>"
+    df = spark.createDataFrame([(1, "u", page), (2, None, None), (None, "v", "<p>cut <b")], "page_id long, url string, html string")
+    found = {r["page_id"]: r for r in html_text.extract(df).collect()}
+    assert found[1]["text"] == "A & B\nSome text here, long enough.\nMore."
+    assert found[2]["text"] == "" and found[2]["n_chars"] == 0
+
+
+def test_secret_spans(docs, empty, rows):
+    pattern = re.compile(r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+    for r in secret_spans.scan(docs).collect():
+        text = next(t for d, t, *_ in rows if d == r["doc_id"]) or ""
+        assert r["n_assign"] == sum(len(m[2]) >= 12 for m in pattern.finditer(text))
+        assert r["n_hex"] == sum(len(x) >= 16 for x in re.findall("[0-9a-f]+", text))
+    masked = {r["doc_id"]: r["text"] for r in secret_spans.redact(docs).collect()}
+    assert masked[20] == "my password is [SECRET] and [SECRET]\"" and masked[2] is None
+    assert secret_spans.guess_cost("password1") < secret_spans.guess_cost("x7Gq!2kL")
+    assert secret_spans.scan(empty).count() == 0
+
+
+def test_classifiers_learn(spark, empty):
+    r = random.Random(4)
+    good = lambda: " ".join(r.choice("lorem ipsum dolor sit amet tempor magna".split()) + "." * (r.random() < 0.1) for _ in range(60))
+    data = [(i, good().upper() + "!!" * 20 if i % 3 == 0 else good() + (" vile scoundrel vile" if i % 3 == 1 else ""), "en", "s", 1, 0.0, "") for i in range(240)]
+    docs = spark.createDataFrame([*data, (None, None, None, None, None, None, None)], SCHEMA)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 3 == 1)) for i in range(180)] + [(None, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int")
+    kept = quality.score(docs, quality.train(docs, labels)).where("doc_id >= 180")
+    assert kept.where("kept <> (doc_id % 3 > 0)").count() == 0
+    model = toxicity.train(docs, labels.withColumn("grade", F.col("toxic") * 2))
+    assert toxicity.score(docs, model).where("doc_id >= 180 and toxic <> (doc_id % 3 = 1)").count() == 0
+    assert toxicity.train(empty, labels, grade_col="toxic") is None and quality.train(empty, labels) is None
+    assert quality.score(empty, None).count() == 0 and toxicity.score(empty, None).count() == 0
