@@ -145,8 +145,8 @@ def box_children(spark, sf):
 
 
 def leaf_boxes(spark, sf):
-    _, grid, depth, box = _box(_events, spark, sf)
-    return boxes.leaf_boxes(box, grid, LEAF, depth)
+    pts, grid, depth = _events(spark, sf)
+    return boxes.leaf_boxes(boxes.crowded_boxes(pts, grid, LEAF, depth), grid, LEAF, grid.finest)
 
 
 def collapsed_boxes(spark, sf):
@@ -168,8 +168,9 @@ def box_tight_bounds(spark, sf):
 
 
 def leaf_membership(spark, sf):
-    pts, grid, depth, box = _box(_events, spark, sf)
-    return boxes.leaf_membership(pts, boxes.leaf_boxes(cut_lineage(box), grid, LEAF, depth), grid, depth)
+    pts, grid, depth = _events(spark, sf)
+    leaves = cut_lineage(boxes.leaf_boxes(boxes.crowded_boxes(pts, grid, LEAF, depth), grid, LEAF, grid.finest))
+    return boxes.leaf_membership(pts, leaves, grid, leaves.agg(F.max("depth")).first()[0])
 
 
 def boxes_at_depth(spark, sf):

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.functions.geometry import suggest_eta
+from gridweave.durable import cut_lineage
 from gridweave.grid import Grid
 from gridweave.skew import hot_table, skew_join
 
@@ -30,6 +31,26 @@ def boxes(points: DataFrame, grid: Grid, depth: int) -> DataFrame:
     return _rollup(points, grid, depth, [F.count(F.lit(1)).alias("n")], [F.sum("n").alias("n")])
 
 
+def crowded_boxes(points: DataFrame, grid: Grid, m: int, depth: int, step: int = 4) -> DataFrame:
+    """Boxes down to ``depth``, and below it those of cells that still hold ``m`` or more points, to ``grid.finest``.
+
+    Only crowded cells go deeper, ``step`` depths at a time, so the rows follow the tree and not the finest depth.
+    """
+    fine = cut_lineage(points.select(*grid.cells(grid.finest)).groupBy(*grid.keys).agg(F.count(F.lit(1)).alias("n")))
+    found, first, last = None, 0, min(max(depth, 1), grid.finest)
+    while True:
+        levels = fine.withColumn("depth", F.explode(F.sequence(F.lit(first), F.lit(last))))
+        keyed = levels.select("depth", *grid.coarsen(F.lit(grid.finest) - F.col("depth")), "n")
+        part = cut_lineage(keyed.groupBy("depth", *grid.keys).agg(F.sum("n").alias("n")))
+        found = part if found is None else found.unionByName(part)
+        crowded = part.where((F.col("depth") == last) & (F.col("n") >= max(m, 2))).select(*[F.col(k).alias(f"c_{k}") for k in grid.keys])
+        if last == grid.finest or not crowded.head(1):
+            return found
+        at = grid.coarsen(F.lit(grid.finest - last))
+        fine = cut_lineage(fine.select(*grid.keys, "n", *[c.alias(f"c_{k}") for c, k in zip(at, grid.keys)]).join(crowded, [f"c_{k}" for k in grid.keys], "left_semi").select(*grid.keys, "n"))
+        first, last = last + 1, min(last + step, grid.finest)
+
+
 def parent_keys(grid: Grid) -> list[Column]:
     return [(F.col("depth") - 1).cast("int").alias("depth"), *grid.coarsen(1)]
 

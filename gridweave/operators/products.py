@@ -95,7 +95,7 @@ def block_spectrum(rows: DataFrame, block: str, values: str, width: int) -> Data
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for key, part in pdf.groupby(block):
+            for key, part in pdf.groupby(block, dropna=False):
                 a = np.stack(part[values].to_numpy()).astype(float)
                 gram = a.T @ a
                 yield pd.DataFrame({block: key, "p": np.arange(width), "g": list(gram), "n": len(part)})

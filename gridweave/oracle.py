@@ -252,6 +252,7 @@ def _box_queries() -> dict[str, str]:
         f"leaf AS (SELECT b.* FROM box b LEFT JOIN box p ON p.depth = b.depth - 1 AND {up}, dep"
         f" WHERE (b.depth = 0 OR p.n >= {LEAF}) AND (b.n < {LEAF} OR b.depth = d))"
     )
+    deep = _with(EVENTS, XYZ, "dom") + ",\ndep AS (SELECT 20 AS d),\n" + _cells(XYZ) + ",\n" + _mem(XYZ)
     geo = []
     for a in XY:
         lo, hi = _edge(a, "", False), _edge(a, "", True)
@@ -282,8 +283,8 @@ def _box_queries() -> dict[str, str]:
         "boxes_2d": f"{part}\nSELECT depth, {kp}, n FROM box",
         "box_children": f"{ev}\nSELECT b.depth, {', '.join(f'b.i{a}' for a in XYZ)}, b.n, p.depth AS p_depth,"
         f" {', '.join(f'p.i{a} AS p_i{a}' for a in XYZ)}, p.n AS p_n FROM box b JOIN box p ON p.depth = b.depth - 1 AND {up}",
-        "leaf_boxes": f"{ev},\n{leaves}\nSELECT depth, {kz}, n FROM leaf",
-        "leaf_membership": f"{ev},\n{leaves}\nSELECT m.id, l.depth, {', '.join(f'l.i{a}' for a in XYZ)} FROM mem m"
+        "leaf_boxes": f"{deep},\n{leaves}\nSELECT depth, {kz}, n FROM leaf",
+        "leaf_membership": f"{deep},\n{leaves}\nSELECT m.id, l.depth, {', '.join(f'l.i{a}' for a in XYZ)} FROM mem m"
         f" JOIN leaf l ON l.depth = m.depth AND {' AND '.join(f'l.i{a} = m.i{a}' for a in XYZ)}",
         "collapsed_boxes": f"{finest},\n{collapsed}",
         "box_geometry": f"{part_dom}\nSELECT depth, {kp}, {', '.join(geo)}, {_r(_diam(XY), 'diam')} FROM box, dom",

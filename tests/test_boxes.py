@@ -154,3 +154,18 @@ def test_result_does_not_depend_on_partitioning(make_points):
     grid = fit(pts, 2)
     got = [{tuple(r) for r in boxes.boxes(pts.repartition(k), grid, 5).collect()} for k in (1, 3, 64)]
     assert got[0] == got[1] == got[2]
+
+
+def test_crowded_cells_go_on_splitting(make_points):
+    rng = np.random.default_rng(9)
+    # A dense clump beside scattered points, and copies of one location.
+    coords = np.concatenate([rng.random((60, 2)), 0.5 + 1e-4 * rng.random((200, 2)), np.full((9, 2), 0.25)])
+    pts = make_points(coords)
+    grid = Grid.fit(pts)
+    leaves = boxes.leaf_boxes(boxes.crowded_boxes(pts, grid, 4, 2, 3), grid, 4, grid.finest).toPandas()
+    assert leaves["n"].sum() == len(coords)
+    assert (leaves.loc[leaves["depth"] < grid.finest, "n"] < 4).all()
+    assert leaves.loc[leaves["depth"] == grid.finest, "n"].tolist() == [9]
+    whole = boxes.leaf_boxes(boxes.boxes(pts, grid, grid.finest), grid, 4, grid.finest).toPandas()
+    key = ["depth", "ix", "iy", "n"]
+    assert sorted(map(tuple, leaves[key].to_numpy())) == sorted(map(tuple, whole[key].to_numpy()))
