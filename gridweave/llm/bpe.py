@@ -47,7 +47,8 @@ class _Lookup(dict):
 
     def learn(self, keys: set[str]) -> None:
         """Encode unseen keys many at a time: a line feed between words is a token of its own that no word holds."""
-        new = list(keys - self.keys())
+        # A set minus a key view would walk all the keys of the dictionary.
+        new = [k for k in keys if k not in self]
         if len(self) + len(new) >= MOST_CACHED:
             self.clear()
             new = list(keys)
