@@ -30,20 +30,29 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _packed(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    raw = ids.tobytes()
+    return [raw[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)]
+
+
+def _sizes(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[int]:
+    return (ends - starts).tolist()
+
+
 class _Lookup(dict):
-    """Segment -> value, encoded on first sight.  ``made`` turns packed ids into the value; ``lead`` goes before each key."""
+    """Segment -> value, encoded on first sight.  ``cut`` turns ids and the bounds of each segment in them into values; ``lead`` goes before each key."""
 
-    def __init__(self, tokenizer, made: Callable[[bytes], object], lead: str = ""):
+    def __init__(self, tokenizer, cut: Callable[[np.ndarray, np.ndarray, np.ndarray], list], lead: str = ""):
         super().__init__()
-        self.tokenizer, self.made, self.lead = tokenizer, made, lead
+        self.tokenizer, self.cut, self.lead = tokenizer, cut, lead
         (self.line_id,) = tokenizer.encode("\n", add_special_tokens=False).ids
 
     def __missing__(self, key: str):
         if len(self) >= MOST_CACHED:
             self.clear()
-        value = self.made(np.asarray(self.tokenizer.encode(self.lead + key, add_special_tokens=False).ids, "<u4").tobytes())
-        self[key] = value
-        return value
+        ids = np.asarray(self.tokenizer.encode(self.lead + key, add_special_tokens=False).ids, "<u4")
+        (self[key],) = value = self.cut(ids, np.array([0]), np.array([len(ids)]))
+        return value[0]
 
     def learn(self, keys: set[str]) -> None:
         """Encode unseen keys many at a time: a line feed between words is a token of its own that no word holds."""
@@ -57,10 +66,8 @@ class _Lookup(dict):
         between = "\n" + self.lead
         for keys_, done in zip(groups, self.tokenizer.encode_batch_fast([self.lead + between.join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.asarray(done.ids, "<u4")
-            raw, at = ids.tobytes(), 0
-            for key, end in zip(keys_, [*(np.flatnonzero(ids == self.line_id) * 4).tolist(), len(raw)], strict=True):
-                self[key] = self.made(raw[at:end])
-                at = end + 4
+            ends = np.append(np.flatnonzero(ids == self.line_id), len(ids))
+            self.update(zip(keys_, self.cut(ids, np.append(0, ends[:-1] + 1), ends), strict=True))
 
 
 def _tokenizer(path: str):
@@ -79,7 +86,7 @@ def lookups(path: str) -> dict:
     store = worker_store(f"bpe {path}")
     if not store:
         t = _tokenizer(path)
-        store.update(plain=_Lookup(t, bytes), spaced=_Lookup(t, bytes, " "), count=_Lookup(t, lambda raw: len(raw) // 4))
+        store.update(plain=_Lookup(t, _packed), spaced=_Lookup(t, _packed, " "), count=_Lookup(t, _sizes))
     return store
 
 

@@ -14,6 +14,8 @@ from gridweave.llm import bpe
 from gridweave.llm.common import Columns, id_text, map_columns, per_row
 
 BLOCK = 64
+# Texts whose unseen words are encoded in one call.
+TOGETHER = 64
 
 
 class CountTree:
@@ -122,13 +124,14 @@ def count_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def rows(given: Columns) -> Columns:
         count = bpe.lookups(path)["count"]
         chars, tokens, n = [], [], []
-        for text in given["text"]:
-            parts = bpe.SEGMENT.findall(text)
-            count.learn(set(parts))
-            c, t = _leaves(parts, count, block)
-            chars.append(c)
-            tokens.append(t)
-            n.append(len(parts))
+        for at in range(0, len(given["text"]), TOGETHER):
+            cut = [bpe.SEGMENT.findall(text) for text in given["text"][at : at + TOGETHER]]
+            count.learn(set().union(*cut))
+            for parts in cut:
+                c, t = _leaves(parts, count, block)
+                chars.append(c)
+                tokens.append(t)
+                n.append(len(parts))
         return {
             "doc_id": given["doc_id"],
             "text": given["text"],
