@@ -43,12 +43,6 @@ def _events(spark: SparkSession, sf: str) -> tuple[DataFrame, Grid, int]:
     return pts, grid, grid.depth_for(LEAF)
 
 
-def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, Grid, int]:
-    pts = points.embedding_points(spark, sf)
-    grid = Grid.fit(pts, points.XYZ)
-    return pts, grid, grid.depth_for(LEAF)
-
-
 def _trade(spark: SparkSession, sf: str) -> tuple[DataFrame, Grid, int]:
     pts = points.trade_points(spark, sf)
     grid = Grid.fit(pts)
@@ -150,9 +144,8 @@ def leaf_boxes(spark, sf):
 
 
 def collapsed_boxes(spark, sf):
-    pts, grid, _ = _part(spark, sf)
-    box = boxes.boxes(pts, grid, grid.finest)
-    return boxes.collapsed_boxes(cut_lineage(box), grid, 2)
+    pts, grid, depth = _part(spark, sf)
+    return boxes.collapsed_boxes(boxes.crowded_boxes(pts, grid, 2, depth), grid, 2)
 
 
 def box_geometry(spark, sf):
@@ -162,9 +155,9 @@ def box_geometry(spark, sf):
 
 
 def box_tight_bounds(spark, sf):
-    pts, grid, depth = _vectors(spark, sf)
+    pts, grid, depth = _events(spark, sf)
     out = boxes.box_tight_bounds(pts, grid, depth)
-    return out.select("depth", *grid.keys, "n", *[_r(c) for c in out.columns if c not in ("depth", "n", *grid.keys)])
+    return out.select("depth", *grid.keys, "n", *[_r(c, 3) for c in out.columns if c not in ("depth", "n", *grid.keys)])
 
 
 def leaf_membership(spark, sf):
@@ -242,14 +235,23 @@ def admissible_pairs(spark, sf):
     return out.where("admissible").select("depth", "a_ix", "a_iy", "b_ix", "b_iy", "kind", _r("gap"))
 
 
+def _as_text(name: str):
+    """A whole number that may be beyond a long, as its digits."""
+    return F.col(name).cast("decimal(38,0)").cast("string").alias(name)
+
+
+def _census(box: DataFrame, pr: DataFrame) -> DataFrame:
+    return pairs.block_census(box, pr).withColumn("absent", _as_text("absent"))
+
+
 def block_census(spark, sf):
     _, _, _, box, pr = _pairs(_part, spark, sf)
-    return pairs.block_census(box, pr)
+    return _census(box, pr)
 
 
 def block_census_events(spark, sf):
     _, _, _, box, pr = _pairs(_events, spark, sf)
-    return pairs.block_census(box, pr)
+    return _census(box, pr)
 
 
 def admissibility_audit(spark, sf):
@@ -260,7 +262,7 @@ def admissibility_audit(spark, sf):
 def coverage_audit(spark, sf):
     _, grid, depth, _, pr = _pairs(_part, spark, sf)
     out = pairs.coverage_audit(pr, grid, depth)
-    return out.select(F.col("covered").cast("bigint").alias("covered"), F.col("expected").cast("bigint").alias("expected"), "complete")
+    return out.select(_as_text("covered"), _as_text("expected"), "complete")
 
 
 def sampling_constraints(spark, sf):
@@ -272,7 +274,8 @@ def sampling_constraints(spark, sf):
 def constraint_columns(spark, sf):
     pts, grid, depth, _, pr = _pairs(_part, spark, sf)
     cols = pairs.box_columns(pairs.members(pts, grid, depth), grid.dof_col)
-    return pairs.constraint_columns(pr, cols, grid)
+    out = pairs.constraint_columns(pr, cols, grid)
+    return out.withColumns({c: _as_text(c) for c in ("random_sum", "zero_sum")})
 
 
 def constraint_violations(spark, sf):
@@ -502,28 +505,40 @@ def _report_basis(basis: DataFrame, out: str, k: int = NATION_RANK) -> DataFrame
     return rep.select("depth", "a", "b", "n_rows", fits.alias("k_ok"), "orth_ok")
 
 
+def _with_captured(report: DataFrame, held: DataFrame, basis: DataFrame, key: str, out: str) -> DataFrame:
+    """``report`` with the energy of each block's entries inside its basis: all of it where the rank is exact."""
+    other = "j" if key == "i" else "i"
+    met = held.where("far").join(basis.select(*blockfactor.BLOCK, key, out), [*blockfactor.BLOCK, key])
+    inside = met.groupBy(*blockfactor.BLOCK, other).agg(products.sum_arrays(NATION_RANK, lambda c: f"v * {out}[{c}]").alias("w"))
+    square = F.aggregate("w", F.lit(0.0), lambda acc, c: acc + c * c)
+    energy = inside.groupBy(*blockfactor.BLOCK).agg(F.sum(square).alias("captured"))
+    return report.join(energy.select(*blockfactor.BLOCK, _r("captured", 2)), list(blockfactor.BLOCK))
+
+
 def column_bases(spark, sf):
     held, _, _ = _nation_entries(spark, sf)
     y = compress.entry_samples(held, sketch_width(NATION_RANK, OVER))
-    return _report_basis(compress.column_bases(y, NATION_RANK, OVER), "us")
+    basis = cut_lineage(compress.column_bases(y, NATION_RANK, OVER))
+    return _with_captured(_report_basis(basis, "us"), held, basis, "i", "us")
 
 
 def row_bases(spark, sf):
     held, _, _ = _nation_entries(spark, sf)
     z = compress.entry_row_samples(held, sketch_width(NATION_RANK, OVER))
-    return _report_basis(compress.row_bases(z, NATION_RANK, OVER), "vs")
+    basis = cut_lineage(compress.row_bases(z, NATION_RANK, OVER))
+    return _with_captured(_report_basis(basis, "vs"), held, basis, "j", "vs")
 
 
 def block_orth(spark, sf):
-    """First-columns basis of each label's embedding rows: every rank reached, every basis orthonormal."""
+    """Leading basis of each label's whole embedding rows: every rank reached, every basis orthonormal."""
     emb = points.read(spark, sf, "embeddings").select(
         F.lit(0).alias("depth"),
         F.col("label").cast("bigint").alias("a"),
         F.col("label").cast("bigint").alias("b"),
         F.col("vec_id").alias("i"),
-        F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("ys"),
+        F.col("embedding").cast("array<double>").alias("ys"),
     )
-    basis = blockfactor.block_orth(emb, "i", 8, 4, "qr")
+    basis = blockfactor.block_orth(emb, "i", 64, 4)
     rep = blockfactor.orth_report(basis, 4)
     return rep.select(F.col("a").alias("label"), "n_rows", "k_eff", "orth_ok")
 
@@ -565,18 +580,20 @@ def core_matrices(spark, sf):
 
 def hier_matvec(spark, sf):
     comp, _, pts, grid = _compressed(spark, sf)
-    return compress.hier_matvec(comp, _patch_vector(pts, grid.dof_col, "j")).select("i", _r("y", 2))
+    y = compress.hier_matvec(comp, _patch_vector(pts, grid.dof_col, "j"))
+    return products.with_zero_rows(y, mesh.patch_to_rows(pts.select("id"), grid.d)).select("i", _r("y", 2))
 
 
 def hier_rmatvec(spark, sf):
     comp, _, pts, grid = _compressed(spark, sf)
-    return compress.hier_rmatvec(comp, _patch_vector(pts, grid.dof_row, "i")).select("j", _r("y", 2))
+    y = compress.hier_rmatvec(comp, _patch_vector(pts, grid.dof_row, "i"))
+    return products.with_zero_rows(y, mesh.patch_to_cols(pts.select("id"), grid.d), "j").select("j", _r("y", 2))
 
 
 def compression_report(spark, sf):
     comp, held, _, grid = _compressed(spark, sf)
-    out = compress.compression_report(held, comp, grid, 5)
-    return out.select("k", "n_near", "n_core", "n_full", (F.col("far_rel_error") < 1e-6).alias("exact"))
+    out = compress.compression_report(held, comp, grid, ITERS)
+    return out.select("k", "n_near", "n_core", "n_full", _r("rel_error"), _r("far_rel_error"))
 
 
 def param_sweep(spark, sf):

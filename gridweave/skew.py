@@ -9,27 +9,22 @@ from pyspark.sql import functions as F
 
 from gridweave.durable import cut_lineage
 
-# At most this many keys can hold a thousandth of the rows or more each.
-HOT_KEYS = 1000
 # Rows of one key that one task should handle at most.
 HOT_ROWS = 500_000
-MAX_SALTS = 1024
+# Hot keys up to this counted number are broadcast; more are joined, and adaptive execution splits that join.
+BROADCAST_KEYS = 100_000
 
 
 def hot_keys(big: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The heaviest keys with the number of salts each needs: never more than ``HOT_KEYS`` rows.
+    """Every key of more than ``hot_rows`` rows with the number of salts it needs.
 
-    The count is combined map-side, and the limit is a top-k, so a key with a third
-    of all rows costs no more than any other.
+    The count is combined map-side, so a key with a third of all rows costs no more than any other.
     """
-    salts = F.least(F.lit(MAX_SALTS), F.ceil(F.col("_rows") / F.lit(hot_rows))).cast("int")
     return (
         big.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .where(F.col("_rows") > hot_rows)
-        .orderBy(F.col("_rows").desc(), *keys)
-        .limit(HOT_KEYS)
-        .select(*keys, salts.alias("_salts"))
+        .select(*keys, F.ceil(F.col("_rows") / F.lit(hot_rows)).cast("bigint").alias("_salts"))
     )
 
 
@@ -56,15 +51,16 @@ def skew_join(
     keys = list(keys)
     if hot is None:
         return big.join(small, keys)
-    hot = F.broadcast(hot)
+    if hot.count() <= BROADCAST_KEYS:
+        hot = F.broadcast(hot)
     salted = (
         big.join(hot, keys, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(*spread), F.coalesce(F.col("_salts"), F.lit(1))).cast("int"))
+        .withColumn("_salt", F.pmod(F.xxhash64(*spread), F.coalesce(F.col("_salts"), F.lit(1).cast("bigint"))))
         .drop("_salts")
     )
     copies = (
         small.join(hot, keys, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("_salts"), F.lit(1).cast("bigint")) - 1)))
         .drop("_salts")
     )
     return salted.join(copies, [*keys, "_salt"]).drop("_salt")

@@ -47,15 +47,6 @@ def event_points(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def embedding_points(spark: SparkSession, folder: str) -> DataFrame:
-    """3D points: the first three coordinates of each embedding."""
-    return read(spark, folder, "embeddings").select(
-        F.col("vec_id").alias("id"),
-        *[F.col("embedding")[k].cast("double").alias(ax) for k, ax in enumerate(XYZ)],
-        F.lit(0.1).alias("len"),
-    )
-
-
 def _unit_parts(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "part").select(
         (F.col("p_partkey") * 2).alias("id"),

@@ -130,6 +130,14 @@ def test_constraint_columns(make_points):
         assert r.n_random == 4 and r.n_zero == 4 * cons[r.depth, r.alpha, r.beta]
 
 
+def test_sums_of_large_ids_are_exact(make_points, spark):
+    first = 2**60
+    pts = make_points(lattice(4, 4)).withColumn("id", F.col("id") + first)
+    grid = Grid.fit(pts)
+    root = pairs.box_columns(pairs.members(pts, grid, 1), 1).where("depth = 0").first()
+    assert int(root.col_sum) == 16 * first + 120
+
+
 def test_box_columns_in_3d(make_points):
     pts, grid, _, _ = build(make_points, lattice(2, 2, 2), 1)
     root = pairs.box_columns(pairs.members(pts, grid, 1), 2).where("depth = 0").first()

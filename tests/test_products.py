@@ -66,6 +66,19 @@ def test_skew_join_equals_plain_join(spark):
     assert sorted(map(tuple, got.select("k", "id", "w").collect())) == sorted(map(tuple, want.select("k", "id", "w").collect()))
 
 
+def test_every_hot_key_is_split(spark, monkeypatch):
+    from gridweave import skew
+
+    # More hot keys than any fixed list would hold, joined and not broadcast.
+    monkeypatch.setattr(skew, "BROADCAST_KEYS", 10)
+    big = spark.range(9000).select((F.col("id") % 1500).alias("k"), "id")
+    small = spark.range(1500).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    hot = hot_table(big, ["k"], 4)
+    assert {r._salts for r in hot.collect()} == {2} and hot.count() == 1500
+    got = skew_join(big, small, ["k"], ["id"], hot).select("k", "id", "w")
+    assert sorted(map(tuple, got.collect())) == [(i % 1500, i, i % 1500 * 2) for i in sorted(range(9000), key=lambda i: (i % 1500, i))]
+
+
 def test_hot_column_product(spark, make_matrix):
     rng = np.random.default_rng(0)
     a = np.where(rng.random((60, 8)) < 0.2, rng.normal(size=(60, 8)), 0)
