@@ -2,7 +2,9 @@
 
 Equal sets are one node from the start.  In each band a node is compared with the
 most shared node of its bucket, so a group of copies gives as many pairs as it has members; then so
-are the components of a bucket, and only nodes that are still apart are compared with each other.
+are the components of a bucket.  Nodes of buckets that still hold several components meet along
+their rarest shingles, which every pair of the similarity must share, so texts that resemble each
+other without a link are not paired.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.durable import cut_lineage
@@ -223,6 +225,45 @@ def _star(rows: DataFrame) -> DataFrame:
     return shown.join(center, "band").where("a <> node").select("a", F.col("node").alias("b")).distinct()
 
 
+def _rare_pairs(open_: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes of different components among which are all that are similar enough.
+
+    ``open_``: node, component, in any number of rows; ``texts``: node, text.  With the shingles of each
+    node in one common order, rare ones first, the first one that two nodes share bounds what they share.
+    """
+    percent = round(similarity * 100)
+
+    def rows(given: Columns) -> Columns:
+        words = worker_store("word hashes").setdefault("all", _WordHash())
+        return {"node": given["node"], "shingles": [shingles(t, words).view(np.int64) for t in given["text"]]}
+
+    sets = cut_lineage(map_columns(texts, per_row(rows), "node long, shingles array<long>"))
+    each = sets.select("node", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
+    shared = each.join(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1"), "shingle")
+    own = Window.partitionBy("node")
+    # ``rest``: the shingles from this one on; those that no other node has come first.
+    rest = F.count(F.lit(1)).over(own) - F.row_number().over(own.orderBy("holders", "shingle")) + 1
+    prefix = shared.withColumn("rest", rest).where(F.col("rest") * 100 >= F.col("n") * percent)
+    keyed = cut_lineage(prefix.join(open_.select("node", "component").distinct(), "node").select("shingle", "node", "component", "n", "rest"))
+    by_part = keyed.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("n"))
+    sides = (
+        by_part.groupBy("shingle")
+        .agg(F.max(F.struct("k", "component")).alias("main"), F.min(F.struct("n", "component")).alias("low"), F.count(F.lit(1)).alias("parts"))
+        .where("parts > 1")
+        .select("shingle", F.col("main.component").alias("main"), F.col("low.n").alias("low"), F.col("low.component").alias("low_part"))
+    )
+    others = by_part.join(sides, "shingle").where("component <> low_part").groupBy("shingle", "main", "low", "low_part").agg(F.min("n").alias("next"))
+    # Rows that even the smallest set of another component could not be similar to go first.
+    smallest = F.when(F.col("component") == F.col("low_part"), F.col("next")).otherwise(F.col("low"))
+    able = F.col("rest") * (100 + percent) >= (F.col("n") + smallest) * percent
+    left = cut_lineage(keyed.join(others, "shingle").where(able).select("shingle", "main", "node", "component", "n", "rest"))
+    x = left.where("component <> main").select("shingle", "main", F.col("node").alias("x"), F.col("component").alias("kx"), F.col("n").alias("nx"), F.col("rest").alias("rx"))
+    y = left.select("shingle", F.col("node").alias("y"), F.col("component").alias("ky"), F.col("n").alias("ny"), F.col("rest").alias("ry"))
+    fits = F.least("rx", "ry") * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
+    met = x.join(y, "shingle").where(F.expr("kx <> ky AND (ky = main OR x < y)") & fits)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
 
@@ -251,11 +292,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = cut_lineage(banded.join(fame, "node").select("band", "node", "fame"))
     texts = id_text(docs, id_col, text_col).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_key"), "text")
 
-    def of(pairs: DataFrame) -> DataFrame:
-        """Texts of the nodes in ``pairs``: only those move, and repeated rows count once."""
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "id", "text_key"), "node")
+    def text_of(wanted: DataFrame) -> DataFrame:
+        """Texts of the nodes in ``wanted``: only those move, and repeated rows count once."""
+        needed = wanted.select("node").distinct().join(nodes.select("node", "id", "text_key"), "node")
         return texts.join(needed, ["id", "text_key"]).groupBy("id", "text_key", "node").agg(F.first("text").alias("text")).select("node", "text")
 
+    def of(pairs: DataFrame) -> DataFrame:
+        return text_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+
     def labelled(comp: DataFrame) -> DataFrame:
         """Rows of buckets that still hold several components."""
         rows = banded.join(comp, "node", "left").select("band", "node", "fame", F.coalesce("component", "node").alias("component"))
@@ -268,10 +312,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     again = cut_lineage(_alike(_star(labelled(components(links))), nodes, similarity))
     links = cut_lineage(links.unionByName(verified(again, of(again), similarity)))
     open_ = labelled(components(links))
-    x = open_.select("band", F.col("node").alias("a"), F.col("component").alias("ka"))
-    y = open_.select("band", F.col("node").alias("b"), F.col("component").alias("kb"))
-    cross = x.join(y, "band").where("a < b and ka <> kb").select("a", "b").distinct()
-    second = cut_lineage(_alike(cross, nodes, similarity))
+    second = cut_lineage(_rare_pairs(open_, text_of(open_), similarity))
     more = cut_lineage(verified(second, of(second), similarity))
     # Different sets under one id are rows of one document.
     sets = usable.select("doc_id", "node").distinct()

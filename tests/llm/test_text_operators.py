@@ -125,6 +125,28 @@ def test_katz_against_counts(docs, empty, rows):
     assert katz.score(empty).count() == 0
 
 
+def test_rare_shingles_meet_every_similar_pair(spark):
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(60)]
+    texts = []
+    for k in range(70):
+        own = list(base) if k % 3 else base[10:]
+        for _ in range(k % 5):
+            own[rng.randrange(len(own))] = rng.choice(["x", "y", f"z{k}"])
+        texts.append(" ".join(own))
+    texts = sorted(set(texts))
+    sets = [set(neardup.shingles(t, neardup._WordHash()).tolist()) for t in texts]
+    close = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    table = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    for parts in (len(texts), 3):
+        open_ = table.select("node", F.expr(f"pmod(node, {parts})").alias("component"))
+        found = {(r["a"], r["b"]) for r in neardup._rare_pairs(open_.unionByName(open_), table, 0.75).collect()}
+        assert close and {(a, b) for a, b in close if a % parts != b % parts} <= found
+        assert all(a % parts != b % parts for a, b in found) and len(found) < len(texts) * (len(texts) - 1) / 2
+    none = neardup._rare_pairs(open_.where("node < 0"), table.where("node < 0"), 0.75)
+    assert none.count() == 0
+
+
 def test_near_duplicates_against_all_pairs(docs, empty, rows):
     found = {r["doc_id"]: r for r in neardup.near_duplicates(docs).collect()}
     sets = {d: set(neardup.shingles(t or "", neardup._WordHash()).tolist()) for d, t, *_ in rows if d is not None}
