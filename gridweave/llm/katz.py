@@ -4,7 +4,8 @@ Documents are coded once into chunks: token numbers of a local vocabulary, word
 Chunks ask hashed partitions of the n-gram space for what they need: counts of their words, counts
 of their word pairs, backoff weights of their histories.  Each partition adds up what all chunks
 know of its n-grams and answers every chunk, so each n-gram is counted in one place and no table of
-the whole vocabulary is held anywhere.  Histories that are common are spread by their second word.
+the whole vocabulary is held anywhere.  The partition of a word also numbers it, common words first;
+pairs travel as these numbers.  Histories that are common are spread by their second word.
 
     P(w)    = d(c) c / N                   for words of the training texts, the rest for all others
     P(w|h)  = d(c) c / c(h)                for pairs of the training texts
@@ -53,11 +54,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _pack(a: np.ndarray) -> bytes:
-    return zlib.compress(a.tobytes(), 1)
+    """Compressed byte by byte of the values, as the high bytes are mostly alike."""
+    flat = np.ascontiguousarray(a).reshape(-1)
+    return zlib.compress(flat.view("u1").reshape(-1, flat.itemsize).T.tobytes(), 1)
 
 
 def _unpack(b: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(b), kind)
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(np.frombuffer(zlib.decompress(b), "u1").reshape(size, -1).T.tobytes(), kind)
+
+
+def _pack_rising(a: np.ndarray) -> bytes:
+    return _pack(np.diff(a, prepend=_U(0)).astype("<u8"))
+
+
+def _unpack_rising(b: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(b, "<u8"), dtype=_U)
 
 
 # -- coding ------------------------------------------------------------------
@@ -150,8 +162,12 @@ def _word_part(words: np.ndarray, n: int) -> np.ndarray:
     return (_mix(words) % _U(n)).astype(np.int64)
 
 
-def _pair_part(h: np.ndarray, w: np.ndarray, count: np.ndarray, n: int, hot: float) -> np.ndarray:
-    return (_mix(_mix(h) + np.where(count > hot, w, _U(0))) % _U(n)).astype(np.int64)
+def _dealt_pairs(h: np.ndarray, w: np.ndarray, count: np.ndarray, n: int, hot: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Positions of the pairs of each part, by rising numbers of history and word; ``count``: of the history."""
+    order = np.lexsort((w, h))
+    parts = (_mix(_mix(h) + np.where(count > hot, w, _U(0))) % _U(n)).astype(np.int64)
+    for p, at in _dealt(parts[order], n):
+        yield p, order[at]
 
 
 def _grouped(rows: DataFrame, key: str, fn, schema: str = _ROW) -> DataFrame:
@@ -233,7 +249,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
         counts = np.concatenate([np.frombuffer(r["data"][1], "<u4") for r in group])
         _, at = np.unique(words, return_inverse=True)
         sums = np.bincount(at, counts).astype("<u8")
-        yield from _answers(group, sums[at].astype("<u4"), 0)
+        rank = np.empty(len(sums), _U)
+        rank[np.argsort(-sums.astype(np.int64), kind="stable")] = np.arange(len(sums), dtype=_U)
+        numbers = rank * _U(parts) + _U(group[0]["part"])
+        yield from _answers(group, 0, [len(r["data"][0]) // 8 for r in group], sums[at].astype("<u4"), numbers[at].astype("<u8"))
         yield {"part": group[0]["part"], "chunk": None, "kind": 9, "data": [np.array([int((sums > 0).sum()), *_histogram(sums)], "<i8").tobytes()]}
 
     known = _written(_grouped(_sent(rows, ask_words), "part", add_words))
@@ -242,73 +261,69 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
 
     # Pairs: counts go out with the counts of both words; answers are the counts of the pairs.
     def ask_pairs(group: list[dict]) -> Iterator[dict]:
-        own, c = _chunk_with(group, parts)
+        own, c, number = _chunk_with(group, parts)
         if own is None:
             return
         found, trained, _ = own.pairs()
         h, w = (found >> _U(32)).astype(np.int64), (found & _U(0xFFFFFFFF)).astype(np.int64)
         chunk = group[0]["chunk"]
-        for p, at in _dealt(_pair_part(own.words[h], own.words[w], c[h], parts, hot), parts):
+        for p, at in _dealt_pairs(number[h], number[w], c[h], parts, hot):
             starts = np.flatnonzero(np.diff(h[at], prepend=-1))
             runs = np.diff(starts, append=len(at)).astype("<u4")
-            yield {"part": p, "chunk": chunk, "kind": 0, "data": [own.words[h[at][starts]].tobytes(), runs.tobytes(), own.words[w[at]].tobytes(), _pack(trained[at]), _pack(c[w[at]].astype("<u4"))]}
+            words, first, which = np.unique(number[w[at]], return_index=True, return_inverse=True)
+            yield {"part": p, "chunk": chunk, "kind": 0, "data": [_pack_rising(number[h[at][starts]]), _pack(runs), _pack_rising(words), _pack(which.astype("<u4")), _pack(trained[at]), _pack(c[w[at][first]].astype("<u4"))]}
 
     def add_pairs(group: list[dict]) -> Iterator[dict]:
-        h = np.concatenate([np.repeat(np.frombuffer(r["data"][0], "<u8"), np.frombuffer(r["data"][1], "<u4")) for r in group])
-        w = np.concatenate([np.frombuffer(r["data"][2], "<u8") for r in group])
-        trained = np.concatenate([_unpack(r["data"][3], "<u4") for r in group])
-        c = np.concatenate([_unpack(r["data"][4], "<u4") for r in group])
+        h = np.concatenate([np.repeat(_unpack_rising(r["data"][0]), _unpack(r["data"][1], "<u4")) for r in group])
+        which = [_unpack(r["data"][3], "<u4") for r in group]
+        w = np.concatenate([_unpack_rising(r["data"][2])[k] for r, k in zip(group, which, strict=True)])
+        trained = np.concatenate([_unpack(r["data"][4], "<u4") for r in group])
+        c = np.concatenate([_unpack(r["data"][5], "<u4")[k] for r, k in zip(group, which, strict=True)])
         _, first, at = np.unique(_mix(_mix(h) + w), return_index=True, return_inverse=True)
         sums = np.bincount(at, trained).astype(np.int64)
-        yield from _answers(group, sums[at].astype("<u4"), 1)
+        yield from _answers(group, 1, [len(k) for k in which], sums[at].astype("<u4"))
         seen = sums > 0
         h, n, p = h[first][seen], sums[seen], uni.p(c[first][seen])
         yield {"part": group[0]["part"], "chunk": None, "kind": 9, "data": [np.array([len(n), *_histogram(n)], "<i8").tobytes()]}
-        of, which = np.unique(h, return_inverse=True)
-        table = [np.bincount(which, (n == r), len(of)) for r in range(1, CUT + 1)]
-        table += [np.bincount(which, np.where(n > CUT, n, 0), len(of)), np.bincount(which, p, len(of))]
-        for q, own in _dealt(_word_part(of, parts), parts):
-            yield {"part": q, "chunk": None, "kind": 8, "data": [of[own].tobytes(), _pack(np.stack([t[own] for t in table]).astype("<f8"))]}
+        of, each = np.unique(h, return_inverse=True)
+        table = [np.bincount(each, (n == r), len(of)) for r in range(1, CUT + 1)]
+        table += [np.bincount(each, np.where(n > CUT, n, 0), len(of)), np.bincount(each, p, len(of))]
+        for q, own in _dealt((of % _U(parts)).astype(np.int64), parts):
+            yield {"part": q, "chunk": None, "kind": 8, "data": [_pack_rising(of[own]), _pack(np.stack([t[own] for t in table]).astype("<f8"))]}
 
     with_words = rows.unionByName(known.where("kind = 0"))
     paired = _written(_grouped(_grouped(with_words, "chunk", ask_pairs), "part", add_pairs))
     _, *pair_counts = _sum_stats(paired, CUT + 2)
     d2 = np.array([*discounts(pair_counts), 1.0])
 
-    # Histories: the partial sums of a history meet, its backoff weight goes to every chunk that has it.
-    def ask_histories(given: Columns) -> Iterator[dict]:
-        for chunk, data in zip(given["chunk"], given["data"], strict=True):
-            words = _unpack(data[1], "<u8")
-            for p, at in _dealt(_word_part(words, parts), parts):
-                yield {"part": p, "chunk": chunk, "kind": 0, "data": [words[at].tobytes()]}
-
+    # Histories: their partial sums meet where the word was numbered, its backoff weight goes to every chunk that has it.
     def weigh(group: list[dict]) -> Iterator[dict]:
         sums = [r for r in group if r["kind"] == 8]
         asked = [r for r in group if r["kind"] == 0]
-        h = np.concatenate([np.frombuffer(r["data"][0], "<u8") for r in sums] or [np.zeros(0, _U)])
+        h = np.concatenate([_unpack_rising(r["data"][0]) for r in sums] or [np.zeros(0, _U)])
         table = np.concatenate([_unpack(r["data"][1], "<f8").reshape(CUT + 2, -1) for r in sums] or [np.zeros((CUT + 2, 0))], axis=1)
         of, at = np.unique(h, return_inverse=True)
         t = np.stack([np.bincount(at, row, len(of)) for row in table])
         left, scale = backoff(t, d2)
         for r in asked:
-            words = np.frombuffer(r["data"][0], "<u8")
+            words = _unpack(r["data"][1], "<u8")
             k = np.minimum(np.searchsorted(of, words), max(len(of) - 1, 0))
             hit = of[k] == words if len(of) else np.zeros(len(words), bool)
             both = np.ones((2, len(words)))
             both[:, hit] = np.stack([left, scale])[:, k[hit]]
             yield {"part": r["part"], "chunk": r["chunk"], "kind": 2, "data": [_pack(both.astype("<f8"))]}
 
-    asked = _sent(rows, ask_histories).unionByName(paired.where("kind = 8"))
+    asked = known.where("kind = 0").unionByName(paired.where("kind = 8"))
     weights = _written(_grouped(asked, "part", weigh))
 
     def finish(group: list[dict]) -> Iterator[dict]:
-        own, c = _chunk_with(group, parts)
+        own, c, number = _chunk_with(group, parts)
         if own is None:
             return
         found, _, at = own.pairs()
         h, w = (found >> _U(32)).astype(np.int64), (found & _U(0xFFFFFFFF)).astype(np.int64)
         pair = np.zeros(len(found), np.int64)
-        deal = dict(_dealt(_pair_part(own.words[h], own.words[w], c[h], parts, hot), parts))
+        deal = dict(_dealt_pairs(number[h], number[w], c[h], parts, hot))
         left, scale = np.ones(len(c)), np.ones(len(c))
         deal_words = dict(_dealt(_word_part(own.words, parts), parts))
         for r in group:
@@ -366,27 +381,26 @@ def _sent(rows: DataFrame, ask) -> DataFrame:
     return map_columns(rows.select("chunk", "data"), make, _ROW)
 
 
-def _answers(group: list[dict], values: np.ndarray, kind: int) -> Iterator[dict]:
+def _answers(group: list[dict], kind: int, sizes: list[int], *values: np.ndarray) -> Iterator[dict]:
     """``values`` of all requests of a group, cut into one answer per request."""
     at = 0
-    for r in group:
-        n = len(r["data"][0 if kind == 0 else 2]) // 8
-        yield {"part": r["part"], "chunk": r["chunk"], "kind": kind, "data": [_pack(values[at : at + n])]}
+    for r, n in zip(group, sizes, strict=True):
+        yield {"part": r["part"], "chunk": r["chunk"], "kind": kind, "data": [_pack(v[at : at + n]) for v in values]}
         at += n
 
 
-def _chunk_with(group: list[dict], parts: int) -> tuple[_Coded | None, np.ndarray | None]:
-    """The chunk of a group and the training counts of its words, put together from the answers."""
+def _chunk_with(group: list[dict], parts: int) -> tuple[_Coded | None, np.ndarray | None, np.ndarray | None]:
+    """The chunk of a group, and the training counts and numbers of its words, put together from the answers."""
     coded = [r for r in group if len(r["data"]) == 7]
     if not coded:
-        return None, None
+        return None, None, None
     own = _Coded.of(coded[0]["data"])
-    c = np.zeros(len(own.words), np.int64)
+    c, number = np.zeros(len(own.words), np.int64), np.zeros(len(own.words), _U)
     deal = dict(_dealt(_word_part(own.words, parts), parts))
     for r in group:
-        if r["kind"] == 0 and len(r["data"]) == 1:
-            c[deal[r["part"]]] = _unpack(r["data"][0], "<u4")
-    return own, c
+        if r["kind"] == 0 and len(r["data"]) == 2:
+            c[deal[r["part"]]], number[deal[r["part"]]] = _unpack(r["data"][0], "<u4"), _unpack(r["data"][1], "<u8")
+    return own, c, number
 
 
 def _sum_stats(answers: DataFrame, n: int) -> list[int]:
