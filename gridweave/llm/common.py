@@ -29,9 +29,14 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def worker_store(name: str) -> dict:
-    """A dictionary that a Python worker keeps from one task to the next; only for values that can be made again."""
+    """A dictionary that a Python worker keeps from one task to the next; only for values that can be made again.
+
+    A worker keeps the last name's alone, so the stores of different operators do not add up.
+    """
     holder = sys.modules.setdefault("gridweave_worker_store", types.ModuleType("gridweave_worker_store"))
-    return holder.__dict__.setdefault(name, {})
+    if holder.__dict__.get("kept_for") != name:
+        holder.__dict__.update(kept_for=name, store={})
+    return holder.__dict__["store"]
 
 
 def map_columns(df: DataFrame, make: Callable[[], Callable[[Columns], Iterator[Columns]]], schema: str) -> DataFrame:
