@@ -18,7 +18,7 @@ from gridweave.llm import mincut
 from gridweave.llm.common import Columns, map_columns, per_row
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|math|iframe|object|canvas|head|select|textarea|button)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<",
     re.S | re.I,
 )
@@ -28,8 +28,14 @@ _SPACE = re.compile(r"\s+")
 # HTML elements by their role.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics annotation annotation-xml".split()
 )
+# Elements without text of the page, if they are closed, and those whose text is a boilerplate block of its own.
+_DROPPED = frozenset("template noscript svg iframe".split())
+_CONTROLS = frozenset("button select textarea object canvas".split())
+_PAIRED = _DROPPED | _CONTROLS | {"title"}
+_IN_HEAD = frozenset("html head base basefont bgsound link meta title script style template noscript noframes".split())
 _OUTSIDE = frozenset("nav footer aside form menu dialog".split())
 _INSIDE = frozenset("article main".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -46,7 +52,7 @@ _GOOD = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|t
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 # Weights of the block classifier, as log odds of content.
-_W = {"outside": -8.0, "header": -5.0, "bad": -6.0, "hidden": -9.0, "inside": 3.0, "good": 2.0, "p": 1.0, "heading": 0.6, "li": -0.5, "other": -0.3, "words": 0.6, "bias": -1.4, "links": -4.0, "sentence": 0.6, "rights": -2.0}
+_W = {"outside": -8.0, "control": -8.0, "header": -5.0, "bad": -6.0, "hidden": -9.0, "inside": 3.0, "good": 2.0, "p": 1.0, "heading": 0.6, "li": -0.5, "other": -0.3, "words": 0.6, "bias": -1.4, "links": -4.0, "sentence": 0.6, "rights": -2.0}
 _ADJACENT, _SIBLING = 0.5, 0.5
 _RIGHTS = re.compile(r"©|\(c\)\s*\d{4}|all rights reserved", re.I)
 _SENTENCE = re.compile(r"[.!?…。]")
@@ -66,6 +72,8 @@ def _cue(tag: str, attrs: str, inside: bool) -> float:
     out = 0.0
     if tag in _OUTSIDE:
         out += _W["outside"]
+    elif tag in _CONTROLS:
+        out += _W["control"]
     elif tag == "header" and not inside:
         out += _W["header"]
     elif tag in _INSIDE:
@@ -83,8 +91,27 @@ def _cue(tag: str, attrs: str, inside: bool) -> float:
     return out
 
 
+def _ends(tokens: list[re.Match]) -> dict[int, int]:
+    """Places of the end tags of the elements in ``_PAIRED``, by those of their start tags; unclosed ones are left out."""
+    open_: dict[str, list[int]] = {}
+    out = {}
+    for i, m in enumerate(tokens):
+        tag = m[3] and m[3].lower()
+        if tag in _PAIRED:
+            if not m[2]:
+                open_.setdefault(tag, []).append(i)
+            elif open_.get(tag):
+                out[open_[tag].pop()] = i
+    return out
+
+
 def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order, with character references decoded and white space as single spaces."""
+    """The text blocks of a page in order, with character references decoded and white space as single spaces.
+
+    Only script, style and comments run to the end of the page if they are not closed.  A head ends at its end tag or
+    before whatever cannot stand in it.  Closed template, noscript, svg and iframe are left out; the text of closed
+    buttons and the like is a block of its own, beside that around it; unclosed ones say nothing of what follows.
+    """
     out: list[Block] = []
     stack: list[tuple[str, int, float, bool]] = []  # tag, number, cue of it and all around, within an article
     made, links = 0, 0
@@ -107,13 +134,25 @@ def blocks(page: str) -> list[Block]:
         while len(stack) > at:
             links -= stack.pop()[0] == "a"
 
-    for m in _TOKEN.finditer(page):
+    tokens = list(_TOKEN.finditer(page))
+    ends = _ends(tokens)
+    aside: list[tuple[int, int, list[str], int, int]] = []  # end of a control, its number, the text around it so far and its sizes
+    head, i = True, -1  # a head needs no tag
+    while i + 1 < len(tokens) or aside:
+        i += 1
+        if aside and i >= aside[-1][0]:
+            flush()
+            end, number, parts[:], linked, total = aside.pop()
+            pop_to(next((k for k in range(len(stack)) if stack[k][1] == number), len(stack)))
+            i -= i > end
+            continue
+        m = tokens[i]
         tag = m[3]
         if tag is None:
             if m[1]:
-                if m[1].lower() not in ("button", "svg", "math"):
-                    flush()
+                flush()
             elif m[0][0] != "<" or m[0] == "<":
+                head = head and m[0].isspace()
                 parts.append(m[0])
                 size = len(m[0])
                 total += size
@@ -121,6 +160,32 @@ def blocks(page: str) -> list[Block]:
                     linked += size
             continue
         tag = tag.lower()
+        if m[2]:
+            head = head and tag not in ("head", "body", "html", "br")
+        elif tag == "head":
+            head = True
+            continue
+        else:
+            head = head and tag in _IN_HEAD
+            if i in ends and (tag in _DROPPED or tag == "title" and head):
+                i = ends[i]
+                if tag != "svg":
+                    flush()
+                continue
+            if tag in _CONTROLS:
+                if i not in ends:
+                    continue
+                made += 1
+                aside.append((ends[i], made, parts[:], linked, total))
+                parts.clear()
+                linked = total = 0
+                _, _, around, inside = stack[-1] if stack else ("", 0, 0.0, False)
+                stack.append((tag, made, around + _cue(tag, m[4], inside), inside))
+                if tag == "textarea":  # plain text up to its end
+                    parts.append(page[m.end() : tokens[ends[i]].start()])
+                    total = len(parts[0])
+                    i = ends[i] - 1
+                continue
         if tag == "br":
             parts.append(" ")
             continue

@@ -216,6 +216,17 @@ def test_main_text(spark):
     assert found[2]["text"] == "" and found[2]["n_chars"] == 0
 
 
+def test_unclosed_elements_lose_no_text():
+    body = "<article><h1>Title here</h1><p>Some text that is long enough, with a full stop.</p>{}<p>More text that follows it, also with a full stop.</p></article>"
+    want = ["Title here", "Some text that is long enough, with a full stop.", "More text that follows it, also with a full stop."]
+    for before in ("<html><head><title>t</title><body>", "<html><head><title>t</title><meta charset=utf-8>", "<title>t</title>", "<head><title>t</title></head><body>", "<button>", "<select><option>a<option>b", "<noscript>"):
+        assert html_text.main_text(before + body.format("")).split("\n")[-3:] == want
+    for within in ("<button>", "<select>", "<textarea>", "<object>", "<canvas>", "<svg>", "<button><svg></button></svg>", "<style-x>", "<button>Share this page with your friends now.</button>", "<textarea><p>Write</article> a comment.</textarea>"):
+        assert html_text.main_text(body.format(within)).split("\n") == want
+    assert html_text.main_text("<p>Where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds, <button>Copy</button>all of it is long enough to stay.") == "Where x=2 holds, all of it is long enough to stay."
+    assert html_text.main_text(body.format("<script>var x;")).split("\n") == want[:2]
+
+
 def test_secret_spans(docs, empty, rows):
     pattern = re.compile(r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
     for r in secret_spans.scan(docs).collect():
