@@ -1,6 +1,6 @@
 """Quality rules on DataFrame functions only: word and repetition counts, and lines that many documents of a host share.
 
-A line counts once per distinct text of a host.  Lines above the limit are boilerplate; a
+A line counts once per distinct text of a host, or once per document.  Lines above the limit are boilerplate; a
 document that consists of them for the most part is depleted and rejected.
 """
 
@@ -31,6 +31,14 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), "[\\s\\p{Punct}\\d]+", " "))
 
 
+def _worded(line: Column) -> Column:
+    return F.length(F.translate(line, _SPACE, "")) > 0
+
+
+def _hashed(lines: Column) -> Column:
+    return F.transform(lines, lambda x: F.struct(F.xxhash64(normalised(x)).alias("h"), F.length(x).alias("n")))
+
+
 def _repeated(df: DataFrame) -> DataFrame:
     """``n_repeat_words`` from ``_words``: words covered by 3-word windows that occur twice or more.
 
@@ -67,7 +75,7 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.length(F.translate("_text", _SPACE, "")).cast("long").alias("word_chars"),
         (size - F.length(F.translate("_text", _SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.filter(F.split("_text", _SPLIT), lambda w: w != "").alias("_words"),
-        F.filter(F.split("_text", "\n"), lambda x: F.length(F.translate(x, _SPACE, "")) > 0).alias("_own"),
+        F.filter(F.split("_text", "\n"), _worded).alias("_own"),
     )
     df = df.select(
         "doc_id",
@@ -78,49 +86,70 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "n_symbols",
         (F.size("_own") - F.size(F.array_distinct("_own"))).cast("long").alias("n_dup_lines"),
         "_words",
-        F.transform("_own", lambda x: F.struct(F.xxhash64(normalised(x)).alias("h"), F.length(x).alias("n"))).alias("_lines"),
+        _hashed(F.col("_own")).alias("_lines"),
     )
     return _repeated(df).drop("_words")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = "source", min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, depleted: float = DEPLETED) -> DataFrame:
-    """One row per row of ``docs``: the counts, ``base_failed``, ``line_chars``, ``removed_chars`` and ``kept``.
-
-    A line is above the limit if more than ``min_docs`` and more than ``host_share`` of the distinct
-    texts of its host hold it.  ``kept`` is false if the base failed or more than ``depleted`` of the
-    characters stand in such lines.  A null text has no words, so its base fails; null hosts are one
-    host; null ids stay; repeated rows are judged alike and count as one text; an empty table gives
-    an empty one.
-    """
-    rows = cut_lineage(base_counts(docs, id_col, text_col, host_col))
-    texts = rows.select("_host", "_key", "_lines").dropDuplicates(["_host", "_key"])
-    limit = texts.groupBy("_host").agg(F.greatest(F.lit(float(min_docs)), F.count(F.lit(1)) * host_share).alias("_limit"))
-    lines = texts.select("_host", "_key", F.explode("_lines").alias("_line")).select("_host", "_key", F.col("_line.h").alias("_h"), F.col("_line.n").alias("_n"))
-    seen = (
-        texts.select("_host", F.explode(F.array_distinct(F.transform("_lines", lambda x: x["h"]))).alias("_h"))
-        .groupBy("_host", "_h")
-        .agg(F.count(F.lit(1)).alias("_docs"))
-    )
-    above = cut_lineage(
-        seen.where(F.col("_docs") > min_docs)
-        .join(limit.withColumnRenamed("_host", "_host2"), F.col("_host").eqNullSafe(F.col("_host2")))
-        .where(F.col("_docs") > F.col("_limit"))
-        .select("_host", "_h", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("_salt"))
-    )
+def _above(rows: DataFrame, min_docs: int, host_share: float, count_copies: bool, max_docs: int | None) -> DataFrame:
+    """``_host2, _key2, _gone``: for each text of a host that has any, the hashes of its lines above the limit."""
+    texts = rows.select("_host", "_key", F.array_distinct(F.transform("_lines", lambda x: x["h"])).alias("_hs")).dropDuplicates(["_host", "_key"])
+    units = texts
+    if count_copies:
+        own = rows.select("_host", "doc_id", F.transform("_lines", lambda x: x["h"]).alias("_hs"))
+        named = own.where("doc_id IS NOT NULL").groupBy("_host", "doc_id").agg(F.flatten(F.collect_list("_hs")).alias("_hs"))
+        units = named.unionByName(own.where("doc_id IS NULL")).withColumn("_hs", F.array_distinct("_hs"))
+    least = min_docs if max_docs is None else max_docs
+    seen = units.select("_host", F.explode("_hs").alias("_h")).groupBy("_host", "_h").agg(F.count(F.lit(1)).alias("_docs")).where(F.col("_docs") > least)
+    if max_docs is None:
+        limit = units.groupBy("_host").agg(F.greatest(F.lit(float(min_docs)), F.count(F.lit(1)) * host_share).alias("_limit"))
+        seen = seen.join(limit.withColumnRenamed("_host", "_host2"), F.col("_host").eqNullSafe(F.col("_host2"))).where(F.col("_docs") > F.col("_limit"))
+    above = cut_lineage(seen.select("_host", "_h", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("_salt")))
     # A line may stand in a third of all texts, so its rows are spread over salts.
     host = F.coalesce(F.col("_host"), F.lit(""))
     group = F.xxhash64(host, F.col("_host").isNull(), "_h")
-    removed = (
-        lines.select("_host", "_key", "_n", group.alias("_g"), F.pmod("_key", F.lit(_SALTS)).cast("int").alias("_salt"))
+    return (
+        texts.select("_host", "_key", F.explode("_hs").alias("_h"))
+        .select("_host", "_key", "_h", group.alias("_g"), F.pmod("_key", F.lit(_SALTS)).cast("int").alias("_salt"))
         .join(above.select(group.alias("_g"), "_salt"), ["_g", "_salt"], "left_semi")
         .groupBy("_host", "_key")
-        .agg(F.sum("_n").cast("long").alias("_removed"))
-        .select(F.col("_host").alias("_host2"), F.col("_key").alias("_key2"), "_removed")
+        .agg(F.collect_list("_h").alias("_gone"))
+        .select(F.col("_host").alias("_host2"), F.col("_key").alias("_key2"), "_gone")
     )
-    out = rows.withColumn("line_chars", F.aggregate("_lines", F.lit(0).cast("long"), lambda t, x: t + x["n"])).drop("_lines")
-    out = out.join(removed, (F.col("_key") == F.col("_key2")) & F.col("_host").eqNullSafe(F.col("_host2")), "left")
+
+
+def _with_gone(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """``rows`` with the hashes of their lines above the limit."""
+    out = rows.join(gone, (F.col("_key") == F.col("_key2")) & F.col("_host").eqNullSafe(F.col("_host2")), "left")
+    return out.withColumn("_gone", F.coalesce("_gone", F.expr("CAST(array() AS array<bigint>)"))).drop("_host2", "_key2")
+
+
+def judge(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    host_col: str | None = "source",
+    min_docs: int = MIN_DOCS,
+    host_share: float = HOST_SHARE,
+    depleted: float = DEPLETED,
+    count_copies: bool = False,
+    max_docs: int | None = None,
+) -> DataFrame:
+    """One row per row of ``docs``: the counts, ``base_failed``, ``line_chars``, ``removed_chars`` and ``kept``.
+
+    A line is above the limit if more than ``min_docs`` and more than ``host_share`` of the distinct
+    texts of its host hold it.  With ``count_copies`` documents count instead of distinct texts, each id
+    once and rows without an id each; with ``max_docs`` the limit is that number, whatever the size of the
+    host.  ``kept`` is false if the base failed or more than ``depleted`` of the characters stand in such
+    lines.  A null text has no words, so its base fails; null hosts are one host; null ids stay; repeated
+    rows are judged alike; an empty table gives an empty one.
+    """
+    rows = cut_lineage(base_counts(docs, id_col, text_col, host_col))
+    out = _with_gone(rows, _above(rows, min_docs, host_share, count_copies, max_docs))
+    chars = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda t, x: t + x["n"])
+    left = F.filter("_lines", lambda x: ~F.array_contains(F.col("_gone"), x["h"]))
+    out = out.withColumn("line_chars", chars("_lines")).withColumn("removed_chars", F.when(F.size("_gone") == 0, F.lit(0).cast("long")).otherwise(F.col("line_chars") - chars(left)))
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    gone = F.coalesce(F.col("_removed"), F.lit(0).cast("long"))
     return out.select(
         "doc_id",
         "n_words",
@@ -129,7 +158,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
         "n_dup_lines",
         "n_repeat_words",
         "line_chars",
-        gone.alias("removed_chars"),
+        "removed_chars",
         failed.alias("base_failed"),
-        (~failed & (gone <= F.col("line_chars") * depleted)).alias("kept"),
+        (~failed & (F.col("removed_chars") <= F.col("line_chars") * depleted)).alias("kept"),
     )

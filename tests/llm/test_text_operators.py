@@ -178,6 +178,20 @@ def test_line_rules(docs, empty):
     assert rules.judge(empty).count() == 0
 
 
+def test_line_limit_in_documents(spark):
+    body = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    unlike = [(i, f"{body(chr(97 + i % 26) * (1 + i // 26))}\ncommon line", "s") for i in range(40)]
+    copies = [(1000 + i, "only in copies\n" + " ".join("abcdefgh"[k % 8] * (k + 1) for k in range(60)), "s") for i in range(30)]
+    rest = [(2000 + i, body(chr(97 + i % 26) * (3 + i // 26)), "s") for i in range(900)]
+    df = spark.createDataFrame([*unlike, *copies, *rest, copies[0], (None, copies[0][1], "s")], "doc_id long, text string, source string")
+    removed = lambda **more: {r["doc_id"]: r["removed_chars"] for r in rules.judge(df, **more).collect()}
+    assert removed()[0] == 0  # 40 of some 940 texts
+    assert removed(max_docs=20)[0] == len("common line") and removed(max_docs=20)[1000] == 0
+    both = removed(max_docs=30, count_copies=True)
+    assert both[0] == len("common line") and both[1000] == both[None] == len(copies[0][1]) - 1 and both[2000] == 0
+    assert removed(max_docs=31, count_copies=True)[1000] == 0  # 30 ids and a row without one
+
+
 def test_repeated_words(spark):
     text = "a b c x a b c d e f d e f"
     df = spark.createDataFrame([(1, text, None)], "doc_id long, text string, source string")
