@@ -50,7 +50,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed windows."""
+    """Pieces of packed windows, with their ids."""
     return packing.pack(docs)
 
 

@@ -32,7 +32,8 @@ def op3_katz_backoff(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.pack(read(spark, sf, "documents"))
+    """Pieces with a digest of their ids in place of the ids."""
+    return packing.pack(read(spark, sf, "documents")).drop("ids")
 
 
 def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:

@@ -12,6 +12,7 @@ import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -24,7 +25,7 @@ GROUP_TOKENS = 8 * WINDOW
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
-    "window long, step_group long"
+    "window long, step_group long, ids array<int>"
 )
 
 
@@ -67,7 +68,7 @@ class _Packer:
         o, offset = self.out, 0
         for doc, start, ids, total in parts:
             n = len(ids) // 4
-            for name, v in zip(o, (doc, start, n, zlib.crc32(ids), total, self.next_id, offset, window, group), strict=True):
+            for name, v in zip(o, (doc, start, n, zlib.crc32(ids), total, self.next_id, offset, window, group, np.frombuffer(ids, "<i4")), strict=True):
                 o[name].append(v)
             offset += n
         self.next_id += 1
@@ -130,7 +131,7 @@ def pack(
     group_tokens: int = GROUP_TOKENS,
     end_id: int = 0,
 ) -> DataFrame:
-    """One row per piece of a document: where it starts there and where it lies in its window.
+    """One row per piece of a document: its ids, where it starts there and where it lies in its window.
 
     Each id of each row of ``docs`` lies in exactly one piece; a null or empty text is the end
     id alone.  A row with a null id is packed with a null ``doc_id``; repeated rows are packed

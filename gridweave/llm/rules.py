@@ -124,6 +124,21 @@ def _with_gone(rows: DataFrame, gone: DataFrame) -> DataFrame:
     return out.withColumn("_gone", F.coalesce("_gone", F.expr("CAST(array() AS array<bigint>)"))).drop("_host2", "_key2")
 
 
+def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = "source", min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, count_copies: bool = False, max_docs: int | None = None) -> DataFrame:
+    """``docs`` with the lines above the limit of ``judge`` taken out of the texts.
+
+    The other lines stay as they are, in their order and with the empty ones between them.  Other columns, nulls
+    and row counts stay.
+    """
+    host = F.col(host_col).cast("string") if host_col else F.lit(None).cast("string")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.withColumns({"_host": host, "_key": F.xxhash64(text)})
+    rows = cut_lineage(keyed.select(F.col(id_col).cast("long").alias("doc_id"), "_host", "_key", _hashed(F.filter(F.split(text, "\n"), _worded)).alias("_lines")))
+    left = F.filter(F.split(F.col(text_col), "\n"), lambda x: ~(_worded(x) & F.array_contains(F.col("_gone"), F.xxhash64(normalised(x)))))
+    out = _with_gone(keyed, _above(rows, min_docs, host_share, count_copies, max_docs))
+    return out.withColumn(text_col, F.when(F.size("_gone") == 0, F.col(text_col)).otherwise(F.array_join(left, "\n"))).select(*docs.columns)
+
+
 def judge(
     docs: DataFrame,
     id_col: str = "doc_id",

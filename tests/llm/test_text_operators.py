@@ -96,6 +96,17 @@ def test_packing_round_trip(docs, empty, rows):
     assert packing.pack(empty).count() == 0
 
 
+def test_packed_windows_hold_their_ids(docs, rows):
+    store = bpe.lookups(bpe.default_path())
+    ids = {d: [*_ids(store, t or ""), 0] for d, t, *_ in rows}
+    windows = {}
+    for p in packing.pack(docs, window=64, smallest=16).collect():
+        assert p["ids"] == ids[p["doc_id"]][p["start"] : p["start"] + p["length"]]
+        windows.setdefault(p["sequence_id"], []).extend(p["ids"])
+        assert p["window"] >= len(windows[p["sequence_id"]])
+    assert sum(map(len, windows.values())) == sum(len(ids[d]) for d, *_ in rows)
+
+
 def test_katz_against_counts(docs, empty, rows):
     found = {r["doc_id"]: r for r in katz.score(docs, chunk_tokens=300, part_rows=700).collect()}
     uni, bi = {}, {}
@@ -192,6 +203,17 @@ def test_line_limit_in_documents(spark):
     assert removed(max_docs=31, count_copies=True)[1000] == 0  # 30 ids and a row without one
 
 
+def test_lines_above_the_limit_leave_the_text(docs, empty, rows):
+    given = {r[0]: r[1] for r in rows}
+    left = {r["doc_id"]: r["text"] for r in rules.without_lines(docs, min_docs=3, host_share=0.1).collect()}
+    assert left[8] == given[8].removesuffix("\nshared line of all") != given[8] and left[10] == given[10]
+    assert left[2] is None and left[4] == " \n " and len(left) == len(given)
+    for r in rules.judge(docs, min_docs=3, host_share=0.1).collect():
+        whole, rest = ([len(x) for x in (t or "").split("\n") if x.strip(" \t\n\x0b\f\r")] for t in (given[r["doc_id"]], left[r["doc_id"]]))
+        assert (r["line_chars"], r["removed_chars"]) == (sum(whole), sum(whole) - sum(rest))
+    assert rules.without_lines(docs).columns == docs.columns and rules.without_lines(empty).count() == 0
+
+
 def test_repeated_words(spark):
     text = "a b c x a b c d e f d e f"
     df = spark.createDataFrame([(1, text, None)], "doc_id long, text string, source string")
