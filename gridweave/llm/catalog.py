@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm import counting, decontaminate, html_text, katz, neardup, packing, quality, rules, secret_spans, toxicity
+from gridweave.llm import (
+    automaton, counting, decontaminate, divergence, html_text, katz, neardup, packing, quality, rules, secret_spans, toxicity, whitening,
+)
 from gridweave.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,8 +64,27 @@ def op10_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return secret_spans.scan(read(spark, sf, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """A deviation beyond a long, which takes millions of vectors, is null here; the operator has it as a decimal."""
+    out = whitening.whiten(read(spark, sf, "embeddings"))
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op12_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.audit(read(spark, sf, "documents"))
+
+
+def op13_bpe_automaton(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests of the ids and of the text that they give again."""
+    out = automaton.round_trip(read(spark, sf, "documents"))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_token_counts, op2_toxicity, op3_katz_backoff, op4_packing, op5_decontamination, op6_near_duplicates, op7_line_frequency, op8_html_extraction, op9_quality, op10_secrets]
+    found = [
+        op1_token_counts, op2_toxicity, op3_katz_backoff, op4_packing, op5_decontamination, op6_near_duplicates, op7_line_frequency,
+        op8_html_extraction, op9_quality, op10_secrets, op11_whitening, op12_source_divergence, op13_bpe_automaton,
+    ]
     return {f.__name__: f for f in found}
 
 
@@ -147,5 +168,42 @@ LEFT JOIN (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id) m USING (doc
 """
 
 
+# Every kept term of every group, counted or not, without cells.
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+),
+t AS (
+  SELECT rid, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+),
+k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT rid) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+l AS (SELECT lang, CAST(sum(n) AS HUGEINT) AS n, count(*) AS v FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+s AS (SELECT lang, source, CAST(sum(n) AS HUGEINT) AS n FROM c GROUP BY ALL),
+dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (coalesce(s.n, 0) + l.v) AS p,
+    1 + 1000000000::HUGEINT * (k.n + 1) // (l.n + l.v) AS q
+  FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN s USING (lang, source) LEFT JOIN c USING (lang, source, term)
+),
+f AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+),
+pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+),
+term AS (
+  SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value FROM dense WHERE n > 0 AND p > q
+)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM (SELECT * FROM pair UNION ALL SELECT * FROM term) QUALIFY part = 'pair' OR rank <= 200
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_near_duplicates": OP6_SQL, "op7_line_frequency": OP7_SQL}
+    return {"op6_near_duplicates": OP6_SQL, "op7_line_frequency": OP7_SQL, "op12_source_divergence": OP12_SQL}
