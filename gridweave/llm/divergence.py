@@ -2,8 +2,8 @@
 
 A divergence depends on a term only through its two counts, so terms are grouped into cells by
 (count here, count there) with a multiplicity, and the divergence is computed once per cell.
-Sources are compared by sums over their cells; the cells of terms that one or both of two sources lack
-follow from the cell counts of each source alone, so only terms that both hold are met.  The
+Sources are compared by sums over their cells; what terms give that one or both of two sources
+lack follows from the cells of each source alone, so only terms that both hold are met.  The
 leading terms of a source are found by running totals over its ranked cells; only cells that
 reach the limit are expanded to terms again.  All numbers are whole.
 """
@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,12 +26,16 @@ LEAST_DOCS = 3
 TOP_TERMS = 200
 # Fixed value: the scale of the whole-number probabilities.
 SCALE = 1_000_000_000
-# Term counts that a task holds before it sends them on.
-HELD_TERMS = 400_000
+# Term counts that a task holds before it sends them on, and documents.
+HELD_TERMS, HELD_DOCS = 500_000, 1 << 22
 
 # Letters A-Z become small, other ASCII parts terms, bytes of longer UTF-8 characters stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
+# A task's documents and occurrences of one term share a number: 2^23 documents, 2^40 occurrences.
+_BITS = 40
+_ONE_DOC = 1 << _BITS
+
 _GROUP = ["lang", "source"]
 
 
@@ -45,37 +50,39 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     """``lang, source, term, n, n_docs``: partial counts per task, several rows a key; a row with a null term stands for a group alone."""
 
     def make():
-        held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
-        size = 0
+        # One number per term: documents above the lower bits, occurrences in them.
+        held: dict[tuple[str, str], dict[bytes, int]] = {}
+        size = read = 0
 
         def flush() -> Columns:
-            out: Columns = {k: [] for k in ("lang", "source", "term", "n", "n_docs")}
-            for (lang, source), terms in held.items():
-                for term, (n, docs_) in [(None, (0, 0)), *((t.decode(), v) for t, v in terms.items())]:
-                    for k, v in zip(out, (lang, source, term, n, docs_), strict=True):
-                        out[k].append(v)
+            lang, source, term, packed = [], [], [], []
+            for (own_lang, own_source), terms in held.items():
+                rows = len(terms) + 1
+                lang += [own_lang] * rows
+                source += [own_source] * rows
+                term.append(None)
+                term += terms
+                packed.append(0)
+                packed += terms.values()
             held.clear()
-            return out
+            numbers = np.array(packed, np.int64)
+            return {"lang": lang, "source": source, "term": term, "n": numbers & (_ONE_DOC - 1), "n_docs": numbers >> _BITS}
 
         def work(given: Columns | None) -> Iterator[Columns]:
-            nonlocal size
+            nonlocal size, read
             if given is None:
                 yield flush()
                 return
             for text, lang, source in zip(given["text"], given["lang"], given["source"], strict=True):
                 terms = held.setdefault((lang, source), {})
-                before = len(terms)
+                before, seen = len(terms), terms.get
                 for term, n in Counter(text.encode().translate(_FOLD).split()).items():
-                    seen = terms.get(term)
-                    if seen is None:
-                        terms[term] = [n, 1]
-                    else:
-                        seen[0] += n
-                        seen[1] += 1
+                    terms[term] = seen(term, 0) + n + _ONE_DOC
                 size += len(terms) - before
-                if size >= HELD_TERMS:
+                read += 1
+                if size >= HELD_TERMS or read >= HELD_DOCS:
                     yield flush()
-                    size = 0
+                    size = read = 0
 
         return work
 
@@ -127,55 +134,58 @@ def _groups(counts: DataFrame, kept: DataFrame) -> DataFrame:
     )
 
 
-def source_cells(kept: DataFrame, groups: DataFrame) -> DataFrame:
-    """Cells of every ordered pair of sources of a language: ``lang, source, item, own, other, terms_in``.
-
-    ``own`` and ``other`` are counts in ``source`` and ``item``.  Met cells come from the terms that
-    both hold, one way round and then mirrored; what a source holds beyond them meets the count 0.
-    """
-    pair = ["lang", "source", "item", "own", "other"]
+def met_cells(kept: DataFrame) -> DataFrame:
+    """Cells of the terms that two sources of a language both hold: ``lang, source, item, own, other, m``, ``source`` before ``item``."""
     one = kept.select("lang", F.explode("held").alias("a"), "held").select("lang", "a", F.explode("held").alias("b")).where("a.source < b.source")
-    met = (
-        one.groupBy("lang", F.col("a.source").alias("source"), F.col("b.source").alias("item"), F.col("a.n").alias("own"), F.col("b.n").alias("other"))
-        .agg(F.count(F.lit(1)).alias("m"))
-    )
-    ways = F.array(
-        F.struct("source", "item", "own", "other"),
-        F.struct(F.col("item").alias("source"), F.col("source").alias("item"), F.col("other").alias("own"), F.col("own").alias("other")),
-    )
-    zero = F.lit(0).cast("bigint")
-    # A met term leaves the cells of the same count that face a 0, and comes back to the terms of neither.
-    shares = F.array(
-        F.struct("own", "other", F.col("m").alias("m")),
-        F.struct("own", zero.alias("other"), (-F.col("m")).alias("m")),
-        F.struct(zero.alias("own"), "other", (-F.col("m")).alias("m")),
-        F.struct(zero.alias("own"), zero.alias("other"), F.col("m").alias("m")),
+    return one.groupBy("lang", F.col("a.source").alias("source"), F.col("b.source").alias("item"), F.col("a.n").alias("own"), F.col("b.n").alias("other")).agg(
+        F.count(F.lit(1)).alias("m")
     )
-    both = met.select("lang", "m", F.inline(ways)).select("lang", "source", "item", F.inline(shares))
-    alone = kept.select("lang", F.inline("held")).groupBy("lang", "source", F.col("n").alias("count")).agg(F.count(F.lit(1)).alias("m"))
-    sources = groups.select(*_GROUP)
-    others = sources.join(sources.withColumnRenamed("source", "item"), "lang").where("source <> item")
-    mine = others.join(alone, _GROUP).select("lang", "source", "item", F.col("count").alias("own"), zero.alias("other"), "m")
-    theirs = mine.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), zero.alias("own"), F.col("own").alias("other"), "m")
-    distinct = alone.groupBy(*_GROUP).agg(F.sum("m").alias("held"))
-    of_all = groups.join(distinct, _GROUP, "left").select(*_GROUP, "terms", F.coalesce("held", zero).alias("held"))
-    neither = (
-        others.join(of_all, _GROUP)
-        .join(of_all.select("lang", F.col("source").alias("item"), F.col("held").alias("item_held")), ["lang", "item"])
-        .select("lang", "source", "item", zero.alias("own"), zero.alias("other"), (F.col("terms") - F.col("held") - F.col("item_held")).alias("m"))
-    )
-    parts = both.unionByName(mine).unionByName(theirs).unionByName(neither)
-    return parts.groupBy(*pair).agg(F.sum("m").alias("terms_in"))
 
 
 def source_divergence(kept: DataFrame, groups: DataFrame) -> DataFrame:
-    """``lang, source, item, value``: for every other source of the language, the divergence summed over all kept terms."""
+    """``lang, source, item, value``: for every other source of the language, the divergence summed over all kept terms.
+
+    If no term were held by both, the terms of each would face the count 0, and all others two of
+    them.  A met cell takes its terms out of these three and puts in their own divergence.
+    """
+    zero = F.lit(0).cast("bigint")
     size = groups.select("lang", "source", "total", "terms")
     other = groups.select("lang", F.col("source").alias("item"), F.col("total").alias("item_total"))
-    cells = source_cells(kept, groups).join(size, _GROUP).join(other, ["lang", "item"])
-    value = divergence(probability("own", "total", "terms"), probability("other", "item_total", "terms"))
-    summed = F.sum(F.when(F.col("terms_in") > 0, value.cast("decimal(20,0)") * F.col("terms_in").cast("decimal(18,0)")))
-    return cells.groupBy("lang", "source", "item").agg(F.coalesce(summed, F.lit(0)).cast("bigint").alias("value"))
+    mine = {c: probability(c, "total", "terms") for c in ("own", "other", "0L")}
+    theirs = {c: probability(c, "item_total", "terms") for c in ("own", "other", "0L")}
+
+    def times(value: Column, m: str) -> Column:
+        return F.sum(value.cast("decimal(20,0)") * F.col(m).cast("decimal(18,0)"))
+
+    def gain(p: Column, q: Column, p0: Column, q0: Column) -> Column:
+        # Each divergence is below 2^61, so the four fit a long.
+        return divergence(p, q) - divergence(p, q0) - divergence(p0, q) + divergence(p0, q0)
+
+    met = met_cells(kept).join(size, _GROUP).join(other, ["lang", "item"]).withColumns(
+        {"p": mine["own"], "q": theirs["other"], "p0": mine["0L"], "q0": theirs["0L"]}
+    )
+    p, q, p0, q0 = (F.col(c) for c in ("p", "q", "p0", "q0"))
+    gains = met.groupBy("lang", "source", "item").agg(times(gain(p, q, p0, q0), "m").alias("there"), times(gain(q, p, q0, p0), "m").alias("back"))
+    ways = F.array(
+        F.struct("source", "item", F.col("there").alias("value")),
+        F.struct(F.col("item").alias("source"), F.col("source").alias("item"), F.col("back").alias("value")),
+    )
+    both = gains.select("lang", F.inline(ways))
+
+    alone = kept.select("lang", F.inline("held")).groupBy("lang", "source", F.col("n").alias("own")).agg(F.count(F.lit(1)).alias("m"))
+    held = alone.groupBy(*_GROUP).agg(F.sum("m").alias("held"))
+    named = size.join(held, _GROUP, "left").withColumn("held", F.coalesce("held", zero))
+    others = named.join(named.select("lang", F.col("source").alias("item"), F.col("total").alias("item_total"), F.col("held").alias("item_held")), "lang").where("source <> item")
+    cells = others.join(alone, _GROUP)
+    here = cells.groupBy("lang", "source", "item").agg(times(divergence(mine["own"], theirs["0L"]), "m").alias("value"))
+    # The same cells seen from the other source: its terms face the count 0 here.
+    away = cells.groupBy("lang", F.col("item").alias("source"), F.col("source").alias("item")).agg(
+        times(divergence(theirs["0L"], mine["own"]), "m").alias("value")
+    )
+    neither = (F.col("terms") - F.col("held") - F.col("item_held")).cast("decimal(18,0)")
+    rest = others.select("lang", "source", "item", (divergence(mine["0L"], theirs["0L"]).cast("decimal(20,0)") * neither).alias("value"))
+    parts = both.unionByName(here).unionByName(away).unionByName(rest)
+    return parts.groupBy("lang", "source", "item").agg(F.sum("value").cast("bigint").alias("value"))
 
 
 def term_divergence(kept: DataFrame, groups: DataFrame, top: int = TOP_TERMS) -> DataFrame:
