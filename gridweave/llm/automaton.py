@@ -30,11 +30,13 @@ from gridweave.llm.common import Columns, id_text, map_columns, per_row, worker_
 START = -1
 # Keys of a table row beside its bytes.
 OPEN, LAST = -1, -2
-# Pre-splitting of an ASCII segment, which has no white space but a leading space.
-_ASCII = re.compile("'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^ A-Za-z0-9]+")
-# Rows of the byte table and words that a worker keeps; past them each starts anew.
-MOST_STATES = 100_000
-MOST_WORDS = 500_000
+# Pre-splitting of segments of printable ASCII and Latin letters, which have no white space but a leading space.
+_SIMPLE = re.compile(" ?[!-~À-ÖØ-öø-ɏ]+")
+_SPLIT = re.compile("'(?:[stmd]|re|ve|ll)| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^ A-Za-z0-9À-ÖØ-öø-ɏ]+")
+# Rows of the byte table that a worker keeps; past them it starts anew.
+MOST_STATES = 120_000
+# Words that a worker keeps twice over: those since the last change, and those before it.
+MOST_WORDS = 180_000
 # Characters of the texts that are encoded together.
 TOGETHER = 1 << 22
 
@@ -113,6 +115,7 @@ class MergeAutomaton:
     def forget(self) -> None:
         """Start the byte table anew, with the state that has read nothing."""
         self.states: dict[tuple[int, ...], dict[int, object]] = {}
+        self.known: dict[int, bool] = {}  # arcs traced back so far
         self.first = self._state((self._start(0, START),), START)
 
     @staticmethod
@@ -137,8 +140,12 @@ class MergeAutomaton:
                 continue
             before = (packed & 0xFFFFF) - 1
             token = ends[node]
-            if token != START and last == START and (before == START or self.arc(before, token)):
-                last = token
+            if token != START and last == START:
+                known = before == START or self.known.get(before << 20 | token)
+                if known is None:
+                    known = self.known[before << 20 | token] = self.arc(before, token)
+                if known:
+                    last = token
             if trie[node]:
                 live.append(node << 20 | before + 1)
         live.append(self._start(0, last))
@@ -149,16 +156,16 @@ class MergeAutomaton:
         """Tokens of one pre-split word."""
         if len(self.states) > MOST_STATES:
             self.forget()
-        row, ends = self.first, []
+        row, path = self.first, []
         for byte in word:
             row = row.get(byte) or self._step(row, byte)
-            ends.append(row[LAST])
+            path.append(row)
             if len(self.states) > 2 * MOST_STATES:  # a very long word: go on from its open starts
                 self.forget()
                 row = self._state(row[OPEN], row[LAST])
         out, at, size = [], len(word), self.size
         while at:
-            token = ends[at - 1]
+            token = path[at - 1][LAST]
             out.append(token)
             at -= size[token]
         out.reverse()
@@ -177,32 +184,63 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class _Words(dict):
-    """Segment of a text -> its packed ids; a segment is pre-split and each word walks the automaton."""
+    """Segment of a text -> its packed ids; a segment is pre-split and each new word walks the automaton.
 
-    def __init__(self, automaton: MergeAutomaton, split, lead: str = ""):
+    ``plain`` has segments as they are, the other one those behind a space, without it.
+    """
+
+    def __init__(self, automaton: MergeAutomaton, split, plain: _Words | None = None):
         super().__init__()
-        self.automaton, self.split, self.lead = automaton, split, lead
+        self.automaton, self.split = automaton, split
+        self.lead, self.plain = ("", self) if plain is None else (" ", plain)
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
         if len(self) >= MOST_WORDS:
+            self.before = dict(self)
             self.clear()
+        out = self.before.get(key)
+        if out is not None:
+            self[key] = out
+            return out
         text = self.lead + key
-        walk = self.automaton.encode_word
-        if key.isascii() and bpe._UNIT.fullmatch(text):
-            ids = [t for word in _ASCII.findall(text) for t in walk(word.encode())]
+        words = _SPLIT.findall(text) if _SIMPLE.fullmatch(text) else [text[a:b] for _, (a, b) in self.split(text)]
+        if len(words) == 1:
+            out = _packed(self.automaton.encode_word(text.encode()))
         else:
-            ids = [t for _, (a, b) in self.split(text) for t in walk(text[a:b].encode())]
-        self[key] = out = _packed(ids)
+            first = self[words[0][1:]] if self.lead and len(words[0]) > 1 else self.plain[words[0]]
+            out = first + b"".join(map(self.plain.__getitem__, words[1:]))
+        self[key] = out
         return out
 
     def learn(self, keys: set[str]) -> None:
         """Words are encoded when they are met."""
 
 
+def _labels(spec: dict) -> dict[int, bytes]:
+    letters = byte_letters()
+    return {t: bytes(letters[c] for c in token) for token, t in spec["model"]["vocab"].items()}
+
+
+def _arc_labels(path: str) -> list[bytes]:
+    """The label of every token, those of added tokens too; kept by the worker."""
+    store = worker_store(f"automaton {path}")
+    if "arcs" not in store:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        arcs = _labels(spec) | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+        store["arcs"] = [arcs.get(t, b"") for t in range(max(arcs) + 1)]
+    return store["arcs"]
+
+
+def _decoded(ids: bytes | None, arcs: list[bytes]) -> str:
+    return b"".join(map(arcs.__getitem__, np.frombuffer(ids or b"", "<u4").tolist())).decode("utf-8", "replace")
+
+
 def _compiled(path: str) -> dict:
     """The worker's automaton of one tokenizer file."""
     store = worker_store(f"automaton {path}")
-    if store:
+    if "automaton" in store:
         return store
     from tokenizers import Tokenizer
 
@@ -215,19 +253,16 @@ def _compiled(path: str) -> dict:
     whole = spec["added_tokens"]
     if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in whole):
         raise ValueError("added tokens that take in their surroundings are not read")
-    letters = byte_letters()
-    labels = {t: bytes(letters[c] for c in token) for token, t in model["vocab"].items()}
-    ids = model["vocab"]
+    labels, ids = _labels(spec), model["vocab"]
     pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
     automaton = MergeAutomaton(labels, [(ids[a], ids[b]) for a, b in pairs])
     split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
-    arcs = labels | {t["id"]: t["content"].encode() for t in whole}
+    plain_words = _Words(automaton, split)
     store.update(
         automaton=automaton,
-        plain=_Words(automaton, split),
-        spaced=_Words(automaton, split, " "),
+        plain=plain_words,
+        spaced=_Words(automaton, split, plain_words),
         whole={t["content"]: _packed([t["id"]]) for t in whole},
-        arcs=[arcs.get(t, b"") for t in range(max(arcs) + 1)],
     )
     return store
 
@@ -253,6 +288,19 @@ def _encode_all(texts: list[str], store: dict) -> list[bytes]:
     ]
 
 
+def _rows_encoded(given: Columns, path: str) -> Columns:
+    store, ids = _compiled(path), []
+    at, texts = 0, given["text"]
+    while at < len(texts):
+        upto, chars = at, 0
+        while upto < len(texts) and (upto == at or chars + len(texts[upto]) <= TOGETHER):
+            chars += len(texts[upto])
+            upto += 1
+        ids += _encode_all(texts[at:upto], store)
+        at = upto
+    return {"doc_id": given["doc_id"], "n_tokens": [len(x) // 4 for x in ids], "ids": ids}
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None) -> DataFrame:
     """``doc_id, n_tokens, ids`` of every row; ``ids`` are packed as little-endian unsigned 32-bit numbers.
 
@@ -261,20 +309,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     itself, an empty table gives an empty one, other columns play no part.
     """
     path = tokenizer_path or bpe.default_path()
-
-    def rows(given: Columns) -> Columns:
-        store, ids = _compiled(path), []
-        at, texts = 0, given["text"]
-        while at < len(texts):
-            upto, chars = at, 0
-            while upto < len(texts) and (upto == at or chars + len(texts[upto]) <= TOGETHER):
-                chars += len(texts[upto])
-                upto += 1
-            ids += _encode_all(texts[at:upto], store)
-            at = upto
-        return {"doc_id": given["doc_id"], "n_tokens": [len(x) // 4 for x in ids], "ids": ids}
-
-    return map_columns(id_text(docs, id_col, text_col), per_row(rows), "doc_id long, n_tokens long, ids binary")
+    return map_columns(id_text(docs, id_col, text_col), per_row(lambda given: _rows_encoded(given, path)), "doc_id long, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", tokenizer_path: str | None = None) -> DataFrame:
@@ -285,20 +320,18 @@ def decode(encoded: DataFrame, ids_col: str = "ids", tokenizer_path: str | None
     path = tokenizer_path or bpe.default_path()
 
     def rows(given: Columns) -> Columns:
-        arcs = _compiled(path)["arcs"]
-        text = [b"".join(map(arcs.__getitem__, np.frombuffer(x or b"", "<u4").tolist())).decode("utf-8", "replace") for x in given["ids"]]
-        return {"doc_id": given["doc_id"], "text": text}
+        arcs = _arc_labels(path)
+        return {"doc_id": given["doc_id"], "text": [_decoded(x, arcs) for x in given["ids"]]}
 
     return map_columns(encoded.select("doc_id", F.col(ids_col).alias("ids")), per_row(rows), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None) -> DataFrame:
-    """``encode`` with ``decoded``, the text that the ids give again, beside it; null and repeated ids of rows need no join."""
+    """``encode`` with ``decoded``, the text that the ids give again, beside it; both in one worker, so rows need no join."""
     path = tokenizer_path or bpe.default_path()
 
     def rows(given: Columns) -> Columns:
-        arcs = _compiled(path)["arcs"]
-        given["decoded"] = [b"".join(map(arcs.__getitem__, np.frombuffer(x, "<u4").tolist())).decode("utf-8", "replace") for x in given["ids"]]
-        return given
+        out, arcs = _rows_encoded(given, path), _arc_labels(path)
+        return out | {"decoded": [_decoded(x, arcs) for x in out["ids"]]}
 
-    return map_columns(encode(docs, id_col, text_col, path), per_row(rows), "doc_id long, n_tokens long, ids binary, decoded string")
+    return map_columns(id_text(docs, id_col, text_col), per_row(rows), "doc_id long, n_tokens long, ids binary, decoded string")
