@@ -22,7 +22,7 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<",
     re.S | re.I,
 )
-_ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden|itemprop|aria-label)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s/>=\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
 
 # HTML elements by their role.
@@ -41,19 +41,26 @@ _INSIDE = frozenset("article main".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _CLOSED_BY = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-# Words in class, id and role that mark boilerplate or content.
-_BAD = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|footer|foot|masthead|topbar|site-?header|page-?header|global-?header|sidebar|side|rail|ad|ads|advert|adverts|advertisement|adsense|banner|promo|promoted|sponsor|sponsored|"
-    r"cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|related|recommended|comment|comments|commentlist|reply|replies|respond|disqus|"
-    r"breadcrumb|breadcrumbs|widget|login|copyright|pager|pagination|toolbar|skip|search|complementary|contentinfo|teaser|tags)(?=$|[\s_\d-])",
-    re.I,
+# Words that class, id, role and label names of boilerplate, of reader comments and of content are made of, and
+# words that may stand beside them.
+_BAD = frozenset(
+    "nav navbar navigation menu footer foot masthead topbar header sidebar side rail ad ads advert adverts advertisement adsense banner promo promoted sponsor sponsored "
+    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup share sharing social related recommended "
+    "breadcrumb breadcrumbs widget login copyright pager pagination toolbar skip search complementary contentinfo teaser tags dialog".split()
 )
-_GOOD = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|text|articlebody)(?=$|[\s_\d-])", re.I)
+_COMMENT = frozenset("comment comments commentlist reply replies respond disqus".split())
+_GOOD = frozenset("article content main post entry story body text articlebody".split())
+_BESIDE = frozenset(
+    "site page global top bottom left right upper lower box boxes list lists section area wrap wrapper container inner outer item items block bar panel primary secondary "
+    "links link id col column row group unit slot zone holder form thread".split()
+)
+_NAME = re.compile(r"[^\W\d_]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 # Weights of the block classifier, as log odds of content.
-_W = {"outside": -8.0, "control": -8.0, "header": -5.0, "bad": -6.0, "hidden": -9.0, "inside": 3.0, "good": 2.0, "p": 1.0, "heading": 0.6, "li": -0.5, "other": -0.3, "words": 0.6, "bias": -1.4, "links": -4.0, "sentence": 0.6, "rights": -2.0}
-_ADJACENT, _SIBLING = 0.5, 0.5
+_W = {"open": 2.0, "outside": -8.0, "control": -8.0, "header": -5.0, "bad": -6.0, "hidden": -9.0, "inside": 3.0, "good": 2.0, "p": 1.0, "heading": 0.6, "li": -0.5, "other": -0.3, "words": 0.6, "bias": -1.4, "links": -4.0, "sentence": 0.6, "rights": -2.0}
+# The most that an edge weighs, between blocks of one element; it falls with their distance in the tree.
+_ADJACENT, _SIBLING = 2.0, 1.0
 _RIGHTS = re.compile(r"©|\(c\)\s*\d{4}|all rights reserved", re.I)
 _SENTENCE = re.compile(r"[.!?…。]")
 
@@ -62,33 +69,54 @@ _SENTENCE = re.compile(r"[.!?…。]")
 class Block:
     text: str
     tag: str
-    path: tuple[int, ...]  # the open elements, outermost first
+    node: int  # the innermost open element that is no inline one; 0 outside of all
     cue: float  # from the elements around
     linked: float  # share of its characters in links
+    inside: bool  # within an article or main element
+
+
+def _named(value: str) -> str:
+    """What a class or id says: ``comment``, ``bad``, ``good`` or nothing.
+
+    A token counts as a whole: all the words that it is made of must be known, so that a name which merely holds
+    a word of these, like has-side or tags-politics, says nothing.
+    """
+    found = set()
+    for token in value.lower().split():
+        words = set(_NAME.findall(token))
+        if words and words <= _BAD | _COMMENT | _GOOD | _BESIDE:
+            found.add("comment" if words & _COMMENT else "bad" if words & _BAD else "good" if words & _GOOD else "")
+    return next((k for k in ("comment", "bad", "good") if k in found), "")
 
 
-def _cue(tag: str, attrs: str, inside: bool) -> float:
-    """What an element says of all it holds."""
-    out = 0.0
+def _cue(tag: str, attrs: str, hard: float, soft: float, inside: bool) -> tuple[float, float]:
+    """What an element, with those around it, says of all it holds: a part that stands and one that an inner article replaces."""
+    own = 0.0
     if tag in _OUTSIDE:
-        out += _W["outside"]
+        hard += _W["outside"]
     elif tag in _CONTROLS:
-        out += _W["control"]
+        hard += _W["control"]
     elif tag == "header" and not inside:
-        out += _W["header"]
-    elif tag in _INSIDE:
-        out += _W["inside"]
+        hard += _W["header"]
+    comment = False
     if attrs.strip("/ \t\n"):
         for name, a, b, c in _ATTR.findall(attrs):
             name, value = name.lower(), a or b or c
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDDEN.search(value)):
-                out += _W["hidden"]
-            elif name in ("class", "id", "role", "itemprop", "aria-label") and value:
-                if tag not in ("body", "html") and _BAD.search(value):
-                    out += _W["bad"]
-                elif _GOOD.search(value) and name != "aria-label":
-                    out += _W["good"]
-    return out
+                hard += _W["hidden"]
+            elif name in ("class", "id", "role", "itemprop", "aria-label") and tag not in ("body", "html"):
+                said = _named("-".join(value.split()) if name == "aria-label" else value)
+                comment = comment or said == "comment"
+                # Class names of an article are its topics and layout, unless they call it a comment.
+                if said == "bad" and tag not in _INSIDE:
+                    own += _W["bad"]
+                elif said == "good" and name != "aria-label":
+                    own += _W["good"]
+    if comment:
+        hard += _W["bad"]
+    elif tag in _INSIDE:
+        return hard, _W["inside"] + own
+    return hard, soft + own
 
 
 def _ends(tokens: list[re.Match]) -> dict[int, int]:
@@ -106,15 +134,21 @@ def _ends(tokens: list[re.Match]) -> dict[int, int]:
 
 
 def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order, with character references decoded and white space as single spaces.
+    """The text blocks of a page in order; see ``parse``."""
+    return parse(page)[0]
+
+
+def parse(page: str) -> tuple[list[Block], list[int]]:
+    """The text blocks of a page in order, and the element around each element, by number; with character references decoded and white space as single spaces.
 
     Only script, style and comments run to the end of the page if they are not closed.  A head ends at its end tag or
     before whatever cannot stand in it.  Closed template, noscript, svg and iframe are left out; the text of closed
     buttons and the like is a block of its own, beside that around it; unclosed ones say nothing of what follows.
     """
     out: list[Block] = []
-    stack: list[tuple[str, int, float, bool]] = []  # tag, number, cue of it and all around, within an article
+    stack: list[tuple[str, int, float, float, bool]] = []  # tag, number, both cues of it and all around, within an article
     made, links = 0, 0
+    up = [0]  # the element around each element; inline ones are passed over
     parts: list[str] = []
     linked = total = 0
 
@@ -123,9 +157,9 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                tag = next((t for t, _, _, _ in reversed(stack) if t not in _INLINE), "")
-                path = tuple(k for t, k, _, _ in stack if t not in _INLINE)
-                out.append(Block(text, tag, path, stack[-1][2] if stack else 0.0, linked / max(1, total)))
+                tag, node = next(((t, k) for t, k, *_ in reversed(stack) if t not in _INLINE), ("", 0))
+                cue, inside = (stack[-1][2] + stack[-1][3], stack[-1][4]) if stack else (0.0, False)
+                out.append(Block(text, tag, node, cue, linked / max(1, total), inside))
             parts.clear()
         linked = total = 0
 
@@ -134,6 +168,15 @@ def blocks(page: str) -> list[Block]:
         while len(stack) > at:
             links -= stack.pop()[0] == "a"
 
+    def push(tag: str, attrs: str) -> None:
+        nonlocal made
+        _, around, hard, soft, inside = stack[-1] if stack else ("", 0, 0.0, 0.0, False)
+        if stack and stack[-1][0] in _INLINE:
+            around = up[around]
+        made += 1
+        up.append(around)
+        stack.append((tag, made, *_cue(tag, attrs, hard, soft, inside), inside or tag in _INSIDE))
+
     tokens = list(_TOKEN.finditer(page))
     ends = _ends(tokens)
     aside: list[tuple[int, int, list[str], int, int]] = []  # end of a control, its number, the text around it so far and its sizes
@@ -175,12 +218,10 @@ def blocks(page: str) -> list[Block]:
             if tag in _CONTROLS:
                 if i not in ends:
                     continue
-                made += 1
+                push(tag, m[4])
                 aside.append((ends[i], made, parts[:], linked, total))
                 parts.clear()
                 linked = total = 0
-                _, _, around, inside = stack[-1] if stack else ("", 0, 0.0, False)
-                stack.append((tag, made, around + _cue(tag, m[4], inside), inside))
                 if tag == "textarea":  # plain text up to its end
                     parts.append(page[m.end() : tokens[ends[i]].start()])
                     total = len(parts[0])
@@ -215,18 +256,19 @@ def blocks(page: str) -> list[Block]:
                     break
         if tag in _VOID or m[4].endswith("/") and tag in ("path", "circle"):
             continue
-        _, _, around, inside = stack[-1] if stack else ("", 0, 0.0, False)
-        made += 1
-        stack.append((tag, made, around + _cue(tag, m[4], inside), inside or tag in _INSIDE))
+        push(tag, m[4])
         links += tag == "a"
     flush()
-    return out
+    return out, up
 
 
-def _unary(b: Block) -> float:
+def _unary(b: Block, explicit: bool) -> float:
+    """Log odds of content; ``explicit`` says that the page has an article or main element."""
     words = b.text.count(" ") + 1
     kind = "p" if b.tag in ("p", "blockquote", "pre") else "heading" if b.tag in _HEADINGS else "li" if b.tag in ("li", "dt", "dd", "td", "th") else "other"
     u = _W["bias"] + _W[kind] + _W["words"] * math.log1p(words) + _W["links"] * b.linked + max(-12.0, min(5.0, b.cue))
+    if not explicit and b.cue >= 0:
+        u += _W["open"]
     if _SENTENCE.search(b.text):
         u += _W["sentence"]
     if _RIGHTS.search(b.text):
@@ -234,29 +276,37 @@ def _unary(b: Block) -> float:
     return u
 
 
-def labels(found: list[Block]) -> list[bool]:
-    """Which blocks are content."""
+def _edges(found: list[Block], up: list[int]) -> list[tuple[int, int, float]]:
+    """Between blocks that follow each other, and between a block and the last one that stands in the same element's child."""
+    deep = [0] * len(up)
+    for k in range(1, len(up)):
+        deep[k] = deep[up[k]] + 1
     edges = []
     last: dict[int, int] = {}
     for i, b in enumerate(found):
         if i:
-            p, q = found[i - 1].path, b.path
-            common = 0
-            for x, y in zip(p, q, strict=False):
-                if x != y:
-                    break
-                common += 1
-            edges.append((i - 1, i, _ADJACENT * (common + 1) / (max(len(p), len(q)) + 1)))
-        parent = b.path[-2] if len(b.path) > 1 else 0
+            p, q, steps = found[i - 1].node, b.node, 0
+            while p != q:
+                if deep[p] < deep[q]:
+                    p, q = q, p
+                p, steps = up[p], steps + 1
+            edges.append((i - 1, i, 2 * _ADJACENT / (2 + steps)))
+        parent = up[b.node]
         if last.get(parent, i - 1) < i - 1:
             edges.append((last[parent], i, _SIBLING))
         last[parent] = i
-    return mincut.split([_unary(b) for b in found], edges)
+    return edges
+
+
+def labels(found: list[Block], up: list[int]) -> list[bool]:
+    """Which blocks are content."""
+    explicit = any(b.inside for b in found)
+    return mincut.split([_unary(b, explicit) for b in found], _edges(found, up))
 
 
 def main_text(page: str) -> str:
-    found = blocks(page)
-    return "\n".join(b.text for b, ok in zip(found, labels(found), strict=True) if ok)
+    found, up = parse(page)
+    return "\n".join(b.text for b, ok in zip(found, labels(found, up), strict=True) if ok)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -270,8 +320,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def rows(given: Columns) -> Columns:
         out: Columns = {k: [] for k in ("page_id", "url", "text", "n_chars", "n_blocks", "n_content")}
         for page, url, source in zip(given["page_id"], given["url"], given["html"], strict=True):
-            found = blocks(source)
-            ok = labels(found)
+            found, up = parse(source)
+            ok = labels(found, up)
             text = "\n".join(b.text for b, yes in zip(found, ok, strict=True) if yes)
             for k, v in zip(out, (page, url, text, len(text), len(found), sum(ok)), strict=True):
                 out[k].append(v)
