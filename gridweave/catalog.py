@@ -11,14 +11,16 @@ from gridweave.durable import cut_lineage
 from gridweave.functions.gaussian import sketch_width
 from gridweave.functions.geometry import box_gap, boxes_adjacent
 from gridweave.grid import Grid
-from gridweave.operators import blockfactor, boxes, factors, mesh, near, norms, pairs, patterns, products
-from gridweave.plans import compress
+from gridweave.operators import blockfactor, boxes, constraints, factors, mesh, near, norms, pairs, patterns, products
+from gridweave.plans import compress, cover, farfield
 from gridweave.sources import matrices, points
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 LEAF = 8
 NEAR_LEAF = 8
+CONFLICT_LEAF = 32
+FAST_LEAF, FAST_ORDER = 16, 12
 RANK, OVER = 3, 2
 # Two separated boxes of the nation lattice hold at most six nations, so this rank is exact there.
 NATION_RANK = 6
@@ -26,8 +28,9 @@ ITERS = 20
 RADIUS = 1.0
 TARGETS = (0.1, 0.01, 0.001)
 EPS = 1e-3
-# (rank, oversampling, leaf size)
-SWEEP = ((1, 2, 8), (6, 2, 8), (6, 2, 32))
+# (rank, oversampling, leaf size, eta)
+SWEEP = ((1, 2, 8, None), (6, 2, 8, None), (6, 2, 32, None), (6, 2, 8, 0.6), (6, 2, 8, 0.9), (6, 2, 32, 1.6))
+ETAS = (0.6, 0.9, 1.6)
 
 
 # -- shared inputs -----------------------------------------------------------
@@ -288,6 +291,48 @@ def constraint_conflicts(spark, sf):
     return pairs.constraint_conflicts(pr, grid)
 
 
+def _requests(box: DataFrame, pr: DataFrame, grid: Grid) -> DataFrame:
+    """Constraint requests over all boxes: every listed pair, the box's mirror image, and its parent."""
+    depth = F.col("depth")
+    listed = pr.select("depth", grid.code(depth, "a_").alias("alpha"), depth.alias("beta_depth"), grid.code(depth, "b_").alias("beta"))
+    last = grid.side(depth).cast("bigint") - 1
+    mirror = grid.code(depth, cells=[last - F.col(k) for k in grid.keys])
+    mirrored = box.select("depth", grid.code(depth).alias("alpha"), depth.alias("beta_depth"), mirror.alias("beta"))
+    up = (depth - 1).cast("int")
+    parents = box.where("depth > 0").select("depth", grid.code(depth).alias("alpha"), up.alias("beta_depth"), grid.code(up, cells=grid.coarsen(1)).alias("beta"))
+    return listed.unionByName(mirrored.unionByName(parents))
+
+
+def constraint_sets(spark, sf):
+    _, grid, _, box, pr = _pairs(_part, spark, sf)
+    out = constraints.constraint_sets(_requests(box, pr, grid), box, pr, grid)
+    return out.withColumn("zero_boxes", F.array_join(F.col("zero_boxes").cast("array<string>"), ","))
+
+
+def constraint_set_columns(spark, sf):
+    pts, grid, depth, box, pr = _pairs(_part, spark, sf)
+    cols = constraints.box_column_sums(pts, grid, depth)
+    out = constraints.constraint_set_columns(_requests(box, pr, grid), box, pr, cols, grid)
+    return out.withColumns({c: _as_text(c) for c in ("random_sum", "zero_sum")})
+
+
+def _sets(spark, sf) -> DataFrame:
+    """Distinct sets of the parts at the depth of larger leaves, as every set has hundreds of edges."""
+    pts = points.part_points(spark, sf)
+    grid = Grid.fit(pts)
+    pr = pairs.block_pairs(cut_lineage(boxes.boxes(pts, grid, grid.depth_for(CONFLICT_LEAF))), grid)
+    return cut_lineage(constraints.distinct_sets(pr, grid))
+
+
+def conflict_edges(spark, sf):
+    return constraints.conflict_edges(_sets(spark, sf))
+
+
+def conflict_graph(spark, sf):
+    held = _sets(spark, sf)
+    return constraints.conflict_graph(held, constraints.conflict_edges(held))
+
+
 # -- matrices ------------------------------------------------------------------
 def matrix_from_table(spark, sf):
     return matrices.supply_matrix(spark, sf)
@@ -363,12 +408,13 @@ def matrix_block(spark, sf):
 
 
 def block_spectrum(spark, sf):
-    """Spectrum of the embedding rows of each label, with the energy the entries must have."""
+    """Spectrum of the embedding rows of each label, by its second and fourth power sums, which the entries fix."""
     emb = points.read(spark, sf, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("e"))
     out = products.block_spectrum(emb, "label", "e", 64)
     energy = F.aggregate("sigma", F.lit(0.0), lambda acc, s: acc + s * s)
+    fourth = F.aggregate("sigma", F.lit(0.0), lambda acc, s: acc + s * s * s * s)
     falling = F.forall(F.sequence(F.lit(1), F.lit(63)), lambda q: F.col("sigma")[q - 1] >= F.col("sigma")[q])
-    return out.select("label", "n_rows", F.round(energy, 4).alias("energy"), falling.alias("falling"))
+    return out.select("label", "n_rows", F.round(energy, 4).alias("energy"), F.round(fourth, 4).alias("fourth"), falling.alias("falling"))
 
 
 def spectral_norm(spark, sf):
@@ -379,7 +425,7 @@ def spectral_norm(spark, sf):
 
 def relative_error(spark, sf):
     a = cut_lineage(matrices.supply_matrix(spark, sf))
-    value = norms.relative_error(_coarse(a), a, ITERS)
+    value = norms.relative_error(_coarse(a), a, ITERS, written=True)
     return spark.range(1).select(F.lit(ITERS).alias("n_iters"), F.round(F.lit(value), 6).alias("rel_error"))
 
 
@@ -399,6 +445,17 @@ def kernel_matvec(spark, sf):
     return out.select("i", _r("y", 3))
 
 
+def kernel_matvec_fast(spark, sf):
+    """The same product by interpolation; so many nodes leave an error far below the last digit shown."""
+    pts, grid, _ = _unit_part(spark, sf)
+    depth = max(grid.depth_for(FAST_LEAF), compress.FIRST_DEPTH)
+    box = cut_lineage(boxes.boxes(pts, grid, depth))
+    pr = cut_lineage(pairs.block_pairs(box, grid))
+    vec = pts.select(F.col("id").alias("j"), (F.lit(1.0) / (F.lit(1.0) + F.col("id"))).alias("x"))
+    out = farfield.kernel_matvec_fast(pts, grid, box, pr, depth, vec, FAST_ORDER, EPS)
+    return out.select("i", _r("y", 1))
+
+
 # -- sketches --------------------------------------------------------------------
 def gaussian_sketch(spark, sf):
     cols = points.read(spark, sf, "part").select(F.col("p_partkey").alias("j"))
@@ -455,11 +512,11 @@ def _patch_vector(pts: DataFrame, dof: int, key: str) -> DataFrame:
 
 
 def level_sample(spark, sf):
-    """Depth 3, after peeling the block means of depth 2."""
+    """Every depth, after peeling the block means of the coarser ones."""
     held, pts, grid, depth = _entries(spark, sf)
-    coarse = _mean_factors(held, pts, grid, depth, 2)
-    out = compress.level_sample(held.select("i", "j", "v"), pts, grid, 3, RANK, coarse)
-    return _long(out, ["pattern", "i"])
+    means = _mean_factors(held, pts, grid, depth)
+    out = compress.level_samples(held.select("i", "j", "v"), pts, grid, depth, RANK, means)
+    return _long(out, ["depth", "pattern", "i"])
 
 
 def apply_truncated(spark, sf):
@@ -590,6 +647,42 @@ def hier_rmatvec(spark, sf):
     return products.with_zero_rows(y, mesh.patch_to_cols(pts.select("id"), grid.d), "j").select("j", _r("y", 2))
 
 
+def sample_counts(spark, sf):
+    """Products with the whole matrix that black-box compression of the events' mesh needs."""
+    _, grid, depth, box = _box(_events, spark, sf)
+    return patterns.sample_counts(box, grid, depth, RANK, OVER)
+
+
+def _black_box(spark, sf) -> tuple[factors.Factors, DataFrame, DataFrame, Grid, int, DataFrame]:
+    """Factors from products with the whole nation matrix alone, and the located entries to compare with."""
+    held, pts, grid = _nation_entries(spark, sf)
+    depth = max(grid.depth_for(LEAF), compress.FIRST_DEPTH)
+    pr = cut_lineage(pairs.block_pairs(boxes.boxes(pts, grid, depth), grid))
+    fac = compress.compress_black_box(held.select("i", "j", "v"), pts, grid, pr, depth, NATION_RANK, OVER)
+    return fac, held, pts, grid, depth, pr
+
+
+def black_box_bases(spark, sf):
+    """Column bases of all depths from peeled samples, with the energy of each block's entries inside its basis."""
+    fac, held, _, _, _, _ = _black_box(spark, sf)
+    basis = cut_lineage(fac.u)
+    return _with_captured(_report_basis(basis, "us").drop("n_rows"), held, basis, "i", "us")
+
+
+def black_box_report(spark, sf):
+    fac, held, _, grid, _, _ = _black_box(spark, sf)
+    comp = compress.Compressed(compress.leaf_blocks(held).select("i", "j", "v"), fac)
+    out = compress.compression_report(held, comp, grid, ITERS)
+    return out.select("k", "n_near", "n_full", _r("rel_error"), _r("far_rel_error"))
+
+
+def probe_blocks(spark, sf):
+    """Entries of the touching blocks of the last depth, from products with packed probes."""
+    fac, held, pts, grid, depth, pr = _black_box(spark, sf)
+    out = compress.probe_blocks(held.select("i", "j", "v"), pts, grid, pr, depth, fac)
+    return out.select("depth", "a", "b", "i", "j", _r("v", 2)).where("v <> 0")
+
+
 def compression_report(spark, sf):
     comp, held, _, grid = _compressed(spark, sf)
     out = compress.compression_report(held, comp, grid, ITERS)
@@ -597,12 +690,61 @@ def compression_report(spark, sf):
 
 
 def param_sweep(spark, sf):
-    """Reports over rank, oversampling and leaf size; the error vanishes from the data's rank on."""
+    """Reports over rank, oversampling, leaf size and eta; the far error vanishes from the data's rank on.
+
+    Below that rank the SQL knows no error, as it has no factors: it is null there.
+    """
     pts = points.nation_points(spark, sf)
     grid = Grid.fit(pts)
     held = cut_lineage(matrices.nation_matrix(spark, sf))
-    out = compress.param_sweep(held, pts, grid, SWEEP, 2)
-    return out.select("k", "p", "leaf", "depth", "n_near", "n_core", (F.col("far_rel_error") < 1e-6).alias("exact"))
+    out = compress.param_sweep(held, pts, grid, SWEEP, ITERS)
+    known = F.when(F.col("k") >= NATION_RANK, F.round("far_rel_error", 6) + F.lit(0.0)).alias("far_rel_error")
+    some = (F.col("k") < NATION_RANK) & (F.col("far_rel_error") > 1e-6)
+    return out.select("k", "p", "leaf", "eta", "depth", "n_near", "n_core", known, some.alias("truncated"))
+
+
+def metric_cover(spark, sf):
+    """Blocks of the metric cover of the parts."""
+    pts, grid, _ = _unit_part(spark, sf)
+    depth = grid.depth_for(LEAF)
+    tree = cover.uniform_tree(boxes.boxes(pts, grid, depth), depth)
+    return cover.pair_cover(tree, grid, cover.metric_apart(ETAS[1]))
+
+
+def metric_coverage(spark, sf):
+    """Blocks and point pairs per kind and depth for three separations; each covers all pairs."""
+    pts, grid, _ = _unit_part(spark, sf)
+    depth = grid.depth_for(LEAF)
+    tree = cut_lineage(cover.uniform_tree(boxes.boxes(pts, grid, depth), depth))
+    out = None
+    for eta in ETAS:
+        part = cover.cover_census(cover.pair_cover(tree, grid, cover.metric_apart(eta))).withColumn("eta", F.lit(eta))
+        out = part if out is None else out.unionByName(part)
+    total = out.groupBy("eta").agg(F.sum("n_pairs").alias("covered"))
+    whole = F.lit(grid.n).cast("decimal(38,0)") * F.lit(grid.n).cast("decimal(38,0)")
+    joined = out.join(total, "eta")
+    return joined.select("eta", "kind", F.col("a_depth").alias("depth"), "n_blocks", _as_text("n_pairs"), (F.col("covered") == whole).alias("complete"))
+
+
+def _uneven(spark, sf, mesh_of) -> tuple[DataFrame, Grid]:
+    pts, grid, depth = mesh_of(spark, sf)
+    tree = boxes.adaptive_boxes(cut_lineage(boxes.crowded_boxes(pts, grid, LEAF, depth)), grid, LEAF, grid.finest)
+    return cover.pair_cover(tree, grid), grid
+
+
+def uneven_lists(spark, sf):
+    """Lists of the parts' adaptive leaves: near, far, and between a leaf and finer boxes."""
+    found, _ = _uneven(spark, sf, _part)
+    return found
+
+
+def uneven_coverage(spark, sf):
+    """The lists of the events' adaptive tree cover all point pairs."""
+    found, grid = _uneven(spark, sf, _events)
+    found = cut_lineage(cover.cover_census(found))
+    audit = cover.cover_audit(found.select(F.col("n_pairs").alias("n_a"), F.lit(1).alias("n_b")), grid).first()
+    per_kind = found.groupBy("kind").agg(F.sum("n_blocks").alias("n_blocks"), F.sum("n_pairs").alias("n_pairs"))
+    return per_kind.select("kind", "n_blocks", _as_text("n_pairs"), F.lit(str(audit["expected"])).alias("expected"), F.lit(audit["complete"]).alias("complete"))
 
 
 def queries() -> dict[str, Query]:
@@ -612,12 +754,14 @@ def queries() -> dict[str, Query]:
         box_tight_bounds, leaf_membership, boxes_at_depth, level_profile, eta_sweep, pattern_cells,
         leaf_pattern_cells, pattern_groups, neighbor_pairs, interaction_pairs, interaction_list, admissible_pairs,
         block_census, block_census_events, admissibility_audit, coverage_audit, sampling_constraints,
-        constraint_columns, constraint_violations, constraint_conflicts, matrix_from_table, matrix_from_arrays,
+        constraint_columns, constraint_violations, constraint_conflicts, constraint_sets, constraint_set_columns,
+        conflict_edges, conflict_graph, matrix_from_table, matrix_from_arrays,
         matvec, matvec_thick, rmatvec, rmatvec_thick, difference_matvec, difference_rmatvec, matrix_block,
-        block_spectrum, spectral_norm, relative_error, kernel_entries, kernel_matvec, gaussian_sketch,
+        block_spectrum, spectral_norm, relative_error, kernel_entries, kernel_matvec, kernel_matvec_fast, gaussian_sketch,
         admissible_sketch, leaf_probe, leaf_blocks, level_sample, apply_truncated, apply_truncated_t,
         peeled_matvec, peeled_rmatvec, column_bases, row_bases, block_orth, two_sample_compress, core_matrix,
-        core_matrices, hier_matvec, hier_rmatvec, compression_report, param_sweep,
+        core_matrices, hier_matvec, hier_rmatvec, sample_counts, black_box_bases, black_box_report, probe_blocks,
+        compression_report, param_sweep, metric_cover, metric_coverage, uneven_lists, uneven_coverage,
     )
     out = {f.__name__: f for f in plain}
     out |= {"boxes": all_boxes, "boxes_adjacent": box_adjacency, "box_gap": box_gap_query}

@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 from gridweave.durable import cut_lineage
 from gridweave.functions.gaussian import gaussian_array
 from gridweave.operators.products import sum_arrays
+from gridweave.operators.treeqr import r_factors
 from gridweave.skew import hot_table, skew_join
 
 BLOCK = ("depth", "a", "b")
-# Directions below this share of the largest singular value are dropped.
+# Directions below this share of the largest singular value are dropped: from a Gram matrix, and from an R factor.
 RANK_CUT = 1e-7
+R_RANK_CUT = 1e-13
 
 
 def _outer_sums(width: int, name: str) -> Column:
@@ -45,7 +47,7 @@ def _times(name: str, t: str, rows: int, cols: int) -> Column:
     return F.expr(f"array({', '.join(terms)})")
 
 
-def _transforms(gram: DataFrame, block: Sequence[str], width: int, use: int, k: int) -> DataFrame:
+def _transforms(gram: DataFrame, block: Sequence[str], width: int, use: int, k: int, cut: float = RANK_CUT) -> DataFrame:
     """Per block, the ``width x k`` map onto orthonormal columns, and its rank.
 
     The span comes from the first ``use`` sample columns; at most ``k`` directions stay.
@@ -59,7 +61,7 @@ def _transforms(gram: DataFrame, block: Sequence[str], width: int, use: int, k:
             g = _square(np.stack(pdf["gram"].to_numpy()), width)[:, :use, :use]
             val, vec = np.linalg.eigh(g)
             val, vec = val[:, ::-1][:, :k], vec[:, :, ::-1][:, :, :k]
-            keep = val > np.maximum(val[:, :1], 0.0) * RANK_CUT**2
+            keep = val > np.maximum(val[:, :1], 0.0) * cut**2
             keep &= val > 0
             keep &= np.arange(val.shape[1])[None, :] < pdf["n_rows"].to_numpy()[:, None]
             scaled = np.where(keep[:, None, :], vec / np.sqrt(np.where(keep, val, 1.0))[:, None, :], 0.0)
@@ -75,6 +77,27 @@ def _transforms(gram: DataFrame, block: Sequence[str], width: int, use: int, k:
     return gram.mapInPandas(run, f"{keys}, n_rows long, k_eff int, sigma array<double>, t array<double>")
 
 
+def _r_transforms(r: DataFrame, block: Sequence[str], width: int, use: int, k: int, cut: float) -> DataFrame:
+    """As ``_transforms``, from R factors of the first ``use`` columns: the map is ``V S^-1`` of their SVD."""
+    fields = {f.name: f.dataType.simpleString() for f in r.schema.fields}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            _, sigma, vt = np.linalg.svd(np.stack(pdf["r"].to_numpy()).reshape(-1, use, use))
+            sigma, vt = sigma[:, :k], vt[:, :k, :]
+            keep = (sigma > sigma[:, :1] * cut) & (sigma > 0)
+            keep &= np.arange(sigma.shape[1])[None, :] < pdf["n_rows"].to_numpy()[:, None]
+            scaled = np.where(keep[:, None, :], vt.transpose(0, 2, 1) / np.where(keep, sigma, 1.0)[:, None, :], 0.0)
+            t = np.zeros((len(pdf), width, k))
+            t[:, :use, : scaled.shape[2]] = scaled
+            yield pdf[[*block, "n_rows"]].assign(k_eff=keep.sum(axis=1).astype(np.int32), t=list(t.reshape(len(pdf), -1)))
+
+    keys = ", ".join(f"{b} {fields[b]}" for b in block)
+    return r.mapInPandas(run, f"{keys}, n_rows long, k_eff int, t array<double>")
+
+
 def gram_table(rows: DataFrame, block: Sequence[str], width: int, name: str) -> DataFrame:
     return rows.groupBy(*block).agg(F.count(F.lit(1)).alias("n_rows"), _outer_sums(width, name).alias("gram"))
 
@@ -87,14 +110,17 @@ def block_orth(
     method: str = "svd",
     block: Sequence[str] = BLOCK,
     out: str = "us",
+    rank_cut: float | None = None,
 ) -> DataFrame:
     """Orthonormal basis rows of each block's sample: input columns plus ``out`` and ``k_eff``.
 
     ``method='qr'`` spans the first ``k`` sample columns; ``'svd'`` takes the ``k`` leading
     left singular directions of the whole sample.  Where a block has fewer rows or a lower
     rank than ``k``, ``k_eff`` says so and the remaining columns are zero.  ``samples`` is
-    read twice and should be a written table.  Orthonormalization runs twice, as the first
-    Gram matrix squares the condition number.
+    read twice and should be a written table.  ``'qr'`` takes the first transform from a tree of
+    R factors, which does not square the condition number, ``'svd'`` from a Gram matrix, which
+    does; a second pass over the near-orthonormal columns brings them to rounding.  Directions
+    below ``rank_cut`` of the largest (``R_RANK_CUT``, ``RANK_CUT``) are dropped.
     """
     if method not in ("qr", "svd"):
         raise ValueError(f"method must be 'qr' or 'svd', got {method!r}")
@@ -104,7 +130,11 @@ def block_orth(
     use = k if method == "qr" else width
     kept = [c for c in samples.columns if c not in block]
     # The small transforms are written, so that the joins see their size and may broadcast them.
-    first = cut_lineage(_transforms(gram_table(samples, block, width, "ys"), block, width, use, k).select(*block, "t"))
+    if method == "qr":
+        found = _r_transforms(r_factors(samples, block, "ys", width, use), block, width, use, k, R_RANK_CUT if rank_cut is None else rank_cut)
+    else:
+        found = _transforms(gram_table(samples, block, width, "ys"), block, width, use, k, RANK_CUT if rank_cut is None else rank_cut)
+    first = cut_lineage(found.select(*block, "t"))
     hot = hot_table(samples, block)
     rough = cut_lineage(
         skew_join(samples, first, block, [row], hot).select(*block, *kept, _times("ys", "t", width, k).alias(out))

@@ -17,7 +17,7 @@ from gridweave.grid import Grid
 from gridweave.skew import hot_table, skew_join
 
 
-def _rollup(points: DataFrame, grid: Grid, depth: int, first: Sequence[Column], merge: Sequence[Column]) -> DataFrame:
+def rollup(points: DataFrame, grid: Grid, depth: int, first: Sequence[Column], merge: Sequence[Column]) -> DataFrame:
     """Aggregate per cell at ``depth``, then merge the cells of every coarser depth."""
     cells = points.select(*points.columns, *grid.cells(depth)).groupBy(*grid.keys).agg(*first)
     up = cells.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(depth))))
@@ -28,7 +28,7 @@ def _rollup(points: DataFrame, grid: Grid, depth: int, first: Sequence[Column],
 
 def boxes(points: DataFrame, grid: Grid, depth: int) -> DataFrame:
     """Every non-empty box of depths ``0..depth`` with its point count."""
-    return _rollup(points, grid, depth, [F.count(F.lit(1)).alias("n")], [F.sum("n").alias("n")])
+    return rollup(points, grid, depth, [F.count(F.lit(1)).alias("n")], [F.sum("n").alias("n")])
 
 
 def crowded_boxes(points: DataFrame, grid: Grid, m: int, depth: int, step: int = 4) -> DataFrame:
@@ -168,7 +168,7 @@ def box_tight_bounds(points: DataFrame, grid: Grid, depth: int) -> DataFrame:
     for ax in grid.axes:
         first += [F.min(ax).alias(f"{ax}_lo"), F.max(ax).alias(f"{ax}_hi")]
         merge += [F.min(f"{ax}_lo").alias(f"{ax}_lo"), F.max(f"{ax}_hi").alias(f"{ax}_hi")]
-    tight = _rollup(points, grid, depth, first, merge)
+    tight = rollup(points, grid, depth, first, merge)
     squares = F.lit(0.0)
     for ax in grid.axes:
         side = F.col(f"{ax}_hi") - F.col(f"{ax}_lo")

@@ -10,7 +10,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.durable import cut_lineage
@@ -39,6 +40,27 @@ class Factors:
         u, core, v = cut_lineage(u), cut_lineage(core), cut_lineage(v)
         return cls(u, core, v, k, hot_table(u, BLOCK), hot_table(v, BLOCK))
 
+    def save(self, folder: str, settings: str = "") -> None:
+        """Write the tables below ``folder``; a last small table, with ``settings``, marks them whole."""
+        for name, table in (("u", self.u), ("core", self.core), ("v", self.v)):
+            table.write.mode("overwrite").parquet(f"{folder}/{name}")
+        mark = self.core.sparkSession.createDataFrame([(self.k, settings)], "k int, settings string")
+        mark.write.mode("overwrite").parquet(f"{folder}/whole")
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str, settings: str = "") -> Factors | None:
+        """Factors saved whole below ``folder``, or None; other settings are an error."""
+        try:
+            mark = spark.read.schema("k int, settings string").parquet(f"{folder}/whole").first()
+        except AnalysisException:  # no such folder
+            return None
+        if mark is None:
+            return None
+        if mark["settings"] != settings:
+            raise ValueError(f"{folder} holds factors of {mark['settings']!r}, not of {settings!r}")
+        u, core, v = (spark.read.parquet(f"{folder}/{name}") for name in ("u", "core", "v"))
+        return cls(u, core, v, mark["k"], hot_table(u, BLOCK), hot_table(v, BLOCK))
+
     def transposed(self) -> Factors:
         flip = [F.col("depth"), F.col("b").alias("a"), F.col("a").alias("b")]
         core = F.expr(f"array({', '.join(f'core[{q * self.k + p}]' for p in range(self.k) for q in range(self.k))})")

@@ -213,14 +213,18 @@ def weights_by_location(points: DataFrame, grid: Grid, vec: DataFrame) -> DataFr
     )
 
 
-def kernel_pairs_matvec(
-    points: DataFrame, grid: Grid, pairs: DataFrame, depth: int, vec: DataFrame, eps: float = DEFAULT_EPS
+def kernel_pairs_by_location(
+    points: DataFrame, grid: Grid, pairs: DataFrame, depth: int, vec: DataFrame, eps: float = DEFAULT_EPS, from_depth: int = 0
 ) -> DataFrame:
-    """The kernel blocks of the given box pairs times a vector ``(j, x)``, as ``(i, y)``."""
-    places = at_depths(weights_by_location(points, grid, vec), depth)
+    """The kernel blocks of the given box pairs, of depths ``from_depth`` to ``depth``, times ``(j, x)``, per location: ``(loc, ys)``."""
+    places = at_depths(weights_by_location(points, grid, vec), depth, from_depth)
     tile = tiles(places, grid, depth, ["ws"])
     blocks = kernel_block_product(tile_pairs(pairs, tile, grid), grid, eps, 1, "ws", adjoint=False)
-    per_loc = blocks.groupBy("loc").agg(sum_arrays(grid.dof_row, lambda c: f"acc[{c}]").alias("ys"))
+    return blocks.groupBy("loc").agg(sum_arrays(grid.dof_row, lambda c: f"acc[{c}]").alias("ys"))
+
+
+def location_rows(per_loc: DataFrame, points: DataFrame, grid: Grid) -> DataFrame:
+    """Values ``ys`` of locations as rows ``(i, y)`` of all their patches."""
     return (
         to_patches(per_loc, points, grid, ["ys"])
         .select("id", F.posexplode("ys").alias("r", "y"))
@@ -228,6 +232,13 @@ def kernel_pairs_matvec(
     )
 
 
+def kernel_pairs_matvec(
+    points: DataFrame, grid: Grid, pairs: DataFrame, depth: int, vec: DataFrame, eps: float = DEFAULT_EPS
+) -> DataFrame:
+    """The kernel blocks of the given box pairs times a vector ``(j, x)``, as ``(i, y)``."""
+    return location_rows(kernel_pairs_by_location(points, grid, pairs, depth, vec, eps), points, grid)
+
+
 def covering(pairs: DataFrame, depth: int) -> DataFrame:
     """The pairs that cover every pair of points once: interactions, and neighbors of the last depth."""
     return pairs.where((F.col("kind") == "int") | (F.col("depth") == depth))

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridweave.operators.treeqr import r_factors
 from gridweave.skew import skew_join
 
 # A vector up to this many doubles is copied to every executor instead of shuffling the matrix.
@@ -85,34 +86,23 @@ def matrix_block(matrix: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFra
     return matrix.join(rows.select("i"), "i", "left_semi").join(cols.select("j"), "j", "left_semi").select("i", "j", "v")
 
 
+def merged(entries: DataFrame) -> DataFrame:
+    """Entries of one position added up; positions that cancel stay, as zeros."""
+    return entries.groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
 def block_spectrum(rows: DataFrame, block: str, values: str, width: int) -> DataFrame:
-    """Singular values of each block of packed rows ``(block, values ARRAY of width)``.
+    """Singular values of each block of packed rows ``(block, values ARRAY of width)``: ``(block, n_rows, sigma)``.
 
-    Each batch adds up its own Gram matrices, sums of those are combined by Spark, and one
-    ``width x width`` matrix per block is decomposed.  No block is ever gathered.
+    They are those of the block's R factor, from a tree of small factorizations; no block is
+    ever gathered, and values far below the largest are resolved.
     """
     kind = rows.schema[block].dataType.simpleString()
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for key, part in pdf.groupby(block, dropna=False):
-                a = np.stack(part[values].to_numpy()).astype(float)
-                gram = a.T @ a
-                yield pd.DataFrame({block: key, "p": np.arange(width), "g": list(gram), "n": len(part)})
-
     def spectrum(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                gram = np.zeros((width, width))
-                for item in row.grams:
-                    gram[item["p"]] = item["g"]
-                out.append(np.sqrt(np.maximum(np.linalg.eigvalsh((gram + gram.T) / 2)[::-1], 0.0)))
-            yield pd.DataFrame({block: pdf[block], "n_rows": pdf["n"], "sigma": out})
-
-    parts = rows.select(block, values).mapInPandas(partial, f"`{block}` {kind}, p int, g array<double>, n long")
-    summed = parts.groupBy(block, "p").agg(
-        F.sum("n").alias("n"), sum_arrays(width, lambda c: f"g[{c}]").alias("g")
-    )
-    packed = summed.groupBy(block).agg(F.max("n").alias("n"), F.collect_list(F.struct("p", "g")).alias("grams"))
-    return packed.mapInPandas(spectrum, f"`{block}` {kind}, n_rows long, sigma array<double>")
+            if len(pdf):
+                sigma = np.linalg.svd(np.stack(pdf["r"].to_numpy()).reshape(-1, width, width), compute_uv=False)
+                yield pdf[[block, "n_rows"]].assign(sigma=list(sigma))
+
+    return r_factors(rows, [block], values, width).mapInPandas(spectrum, f"`{block}` {kind}, n_rows long, sigma array<double>")

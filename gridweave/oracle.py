@@ -151,11 +151,12 @@ m AS (
   SELECT p * 2 AS i, n AS j, q AS v FROM trade UNION ALL SELECT p * 2 + 1, n, w FROM trade
   UNION ALL SELECT n * 2, p, q FROM trade)"""
 
-# Block of each entry: the first depth at which the cells no longer touch, else the last depth.
-LOCATED = """apart AS (
+# Block of each entry: the first depth at which the cells no longer touch (or the rule given), else the last depth.
+TOUCHED = "abs((r.ix >> (d - k)) - (c.ix >> (d - k))) > 1 OR abs((r.iy >> (d - k)) - (c.iy >> (d - k))) > 1"
+LOCATED_BY = """apart AS (
   SELECT m.i, m.j, min(k) AS sep
-  FROM m JOIN cells r ON r.id = m.i // 2 JOIN cells c ON c.id = m.j, dep, range(2, 27) t(k)
-  WHERE k <= d AND (abs((r.ix >> (d - k)) - (c.ix >> (d - k))) > 1 OR abs((r.iy >> (d - k)) - (c.iy >> (d - k))) > 1)
+  FROM m JOIN cells r ON r.id = m.i // 2 JOIN cells c ON c.id = m.j, dep, dom, range(2, 27) t(k)
+  WHERE k <= d AND ({rule})
   GROUP BY ALL),
 held AS (
   SELECT CAST(coalesce(sep, d) AS INTEGER) AS depth, m.i, m.j, m.v, sep IS NOT NULL AS far,
@@ -163,6 +164,7 @@ held AS (
     (c.ix >> (d - coalesce(sep, d))) * (1::BIGINT << coalesce(sep, d)) + (c.iy >> (d - coalesce(sep, d))) AS b
   FROM m JOIN cells r ON r.id = m.i // 2 JOIN cells c ON c.id = m.j
   LEFT JOIN apart ON apart.i = m.i AND apart.j = m.j, dep)"""
+LOCATED = LOCATED_BY.replace("{rule}", TOUCHED)
 
 MEANS = """coded AS (SELECT id, depth, ix * (1::BIGINT << depth) + iy AS code FROM mem),
 size AS (SELECT depth, code, count(*) AS n FROM coded GROUP BY ALL),
@@ -244,11 +246,22 @@ def _box_queries() -> dict[str, str]:
     part_dom = part
     up = " AND ".join(f"b.i{a} >> 1 = p.i{a}" for a in XYZ)
     up2 = " AND ".join(f"b.i{a} >> 1 = p.i{a}" for a in XY)
+    # Every step is kept once, and parents are met on plain columns.
+    up_keys = ", ".join(f"i{a} >> 1 AS u{a}" for a in XYZ)
+    deep_keys = ", ".join(f"f{a} >> (20 - k) AS i{a}" for a in XYZ)
+    fine_keys = ", ".join(
+        f"least(greatest(CAST(floor(({a} - {a}_lo) / ({a}_hi - {a}_lo) * 1048576e0) AS BIGINT), 0), 1048575) AS f{a}" for a in XYZ
+    )
+    deep = (
+        _with(EVENTS, XYZ, "dom") + f",\nfine AS MATERIALIZED (SELECT id, {fine_keys} FROM pts, dom),\n"
+        f"mem AS MATERIALIZED (SELECT id, CAST(k AS INTEGER) AS depth, {deep_keys} FROM fine, range(0, 21) t(k)),\n"
+        f"box AS MATERIALIZED (SELECT depth, depth - 1 AS up, {kz}, {up_keys}, count(*) AS n FROM mem GROUP BY ALL)"
+    )
     leaves = (
-        f"leaf AS (SELECT b.* FROM box b LEFT JOIN box p ON p.depth = b.depth - 1 AND {up}, dep"
-        f" WHERE (b.depth = 0 OR p.n >= {LEAF}) AND (b.n < {LEAF} OR b.depth = d))"
+        f"leaf AS MATERIALIZED (SELECT b.depth, {', '.join(f'b.i{a}' for a in XYZ)}, b.n FROM box b JOIN box p ON p.depth = b.up"
+        f" AND {' AND '.join(f'p.i{a} = b.u{a}' for a in XYZ)} WHERE p.n >= {LEAF} AND (b.n < {LEAF} OR b.depth = 20)"
+        f" UNION ALL SELECT depth, {kz}, n FROM box WHERE depth = 0 AND n < {LEAF})"
     )
-    deep = _with(EVENTS, XYZ, "dom") + ",\ndep AS (SELECT 20 AS d),\n" + _cells(XYZ) + ",\n" + _mem(XYZ)
     geo = []
     for a in XY:
         lo, hi = _edge(a, "", False), _edge(a, "", True)
@@ -339,6 +352,49 @@ def _pair_queries() -> dict[str, str]:
         "SELECT depth, CAST(sum(random) AS BIGINT) AS n_constraints, CAST(sum(random * (boxes - 1)) AS BIGINT)"
         " AS n_violations FROM pat GROUP BY depth"
     )
+    requests = (
+        f"own AS (SELECT depth, {_code(XY)} AS code, n, ix, iy FROM box),\n"
+        "req AS (SELECT depth, alpha, depth AS beta_depth, beta FROM coded UNION ALL"
+        " SELECT depth, code, depth, ((1::BIGINT << depth) - 1 - ix) * (1::BIGINT << depth) + (1::BIGINT << depth) - 1 - iy FROM own UNION ALL"
+        " SELECT depth, code, depth - 1, (ix >> 1) * (1::BIGINT << (depth - 1)) + (iy >> 1) FROM own WHERE depth > 0),\n"
+        "placed AS (SELECT r.*, CASE WHEN o.code IS NULL THEN 'no_box' WHEN r.beta_depth <> r.depth THEN 'depths_differ'"
+        " WHEN r.alpha = r.beta THEN 'own' ELSE coalesce(c.kind, 'out') END AS place FROM req r"
+        " LEFT JOIN own o ON o.depth = r.beta_depth AND o.code = r.beta"
+        " LEFT JOIN coded c ON c.depth = r.depth AND c.alpha = r.alpha AND c.beta = r.beta),\n"
+        "served AS (SELECT DISTINCT depth, alpha, beta FROM placed WHERE place NOT IN ('no_box', 'depths_differ'))"
+    )
+    request_sets = (
+        f"{requests},\nzs AS (SELECT s.depth, s.alpha, s.beta, coalesce(string_agg(CAST(c.beta AS VARCHAR), ',' ORDER BY c.beta), '') AS zero_boxes"
+        " FROM served s LEFT JOIN coded c ON c.depth = s.depth AND c.alpha = s.alpha AND c.beta <> s.beta GROUP BY ALL)\n"
+        "SELECT p.*, z.zero_boxes FROM placed p LEFT JOIN zs z ON z.depth = p.depth AND z.alpha = p.alpha AND z.beta = p.beta"
+        " AND p.place NOT IN ('no_box', 'depths_differ')"
+    )
+    request_cols = (
+        f"{requests},\ncols AS (SELECT depth, {_code(XY)} AS code, count(*) AS n_cols, sum(id) AS col_sum FROM mem GROUP BY ALL),\n"
+        "zs AS (SELECT s.depth, s.alpha, s.beta, CAST(coalesce(sum(k.n_cols), 0) AS BIGINT) AS n_zero, coalesce(sum(k.col_sum), 0) AS zero_sum"
+        " FROM served s LEFT JOIN coded c ON c.depth = s.depth AND c.alpha = s.alpha AND c.beta <> s.beta"
+        " LEFT JOIN cols k ON k.depth = c.depth AND k.code = c.beta GROUP BY s.depth, s.alpha, s.beta)\n"
+        "SELECT p.*, r.n_cols AS n_random, CAST(r.col_sum AS VARCHAR) AS random_sum, z.n_zero, CAST(z.zero_sum AS VARCHAR) AS zero_sum"
+        " FROM placed p LEFT JOIN zs z ON z.depth = p.depth AND z.alpha = p.alpha AND z.beta = p.beta"
+        " AND p.place NOT IN ('no_box', 'depths_differ') LEFT JOIN cols r ON r.depth = z.depth AND r.code = z.beta"
+    )
+    wide = _with(PART, XY, "pairs", 32)
+    vertices = (
+        f"{coded},\nlst AS (SELECT depth, alpha, string_agg(CAST(beta AS VARCHAR), ',' ORDER BY beta) AS boxes FROM coded GROUP BY ALL),\n"
+        "named AS (SELECT depth, alpha, boxes, min(alpha) OVER (PARTITION BY depth, boxes) AS list_of FROM lst),\n"
+        "vert AS MATERIALIZED (SELECT c.depth, c.beta, n.list_of, count(*) AS n_blocks FROM coded c JOIN named n USING (depth, alpha)"
+        " WHERE c.kind = 'int' GROUP BY ALL),\n"
+        # A list is that of the target that names it.
+        "zero AS MATERIALIZED (SELECT v.depth, v.beta, v.list_of, c.beta AS box FROM vert v JOIN coded c ON c.depth = v.depth AND c.alpha = v.list_of AND c.beta <> v.beta),\n"
+        "edge AS (SELECT DISTINCT v.depth, least((v.beta, v.list_of), (z.beta, z.list_of)) AS p, greatest((v.beta, v.list_of), (z.beta, z.list_of)) AS q"
+        " FROM vert v JOIN zero z ON z.depth = v.depth AND z.box = v.beta),\n"
+        "flat AS (SELECT depth, p[1] AS a_beta, p[2] AS a_list, q[1] AS b_beta, q[2] AS b_list FROM edge)"
+    )
+    degrees = (
+        "ends AS (SELECT depth, a_beta AS beta, a_list AS list_of FROM flat UNION ALL SELECT depth, b_beta, b_list FROM flat),\n"
+        "deg AS (SELECT depth, beta, list_of, count(*) AS degree FROM ends GROUP BY ALL)\n"
+        "SELECT depth, beta, list_of, n_blocks, coalesce(degree, 0) AS degree FROM vert LEFT JOIN deg USING (depth, beta, list_of)"
+    )
     full = "one AS (SELECT b.ix, b.iy FROM box b, dep WHERE b.depth = d ORDER BY b.n DESC, b.ix, b.iy LIMIT 1)"
     admissible = f"{gap} >= 0.5e0 * {_diam(XY)}"
     return {
@@ -360,6 +416,10 @@ def _pair_queries() -> dict[str, str]:
         "constraint_columns": f"{part},\n{coded},\n{cols}",
         "constraint_violations": f"{ev},\n{violations}",
         "constraint_conflicts": f"{part},\n{coded},\n{sets}",
+        "constraint_sets": f"{part},\n{coded},\n{request_sets}",
+        "constraint_set_columns": f"{part},\n{coded},\n{request_cols}",
+        "conflict_edges": f"{wide},\n{vertices}\nSELECT * FROM flat",
+        "conflict_graph": f"{wide},\n{vertices},\n{degrees}",
     }
 
 
@@ -381,8 +441,10 @@ def _matrix_queries() -> dict[str, str]:
         " FROM dm JOIN x USING (i) GROUP BY j",
         "matrix_block": f"WITH {SUPPLY} SELECT i, j, v FROM m WHERE i IN (SELECT s_suppkey FROM supplier WHERE"
         " s_acctbal < 0) AND j IN (SELECT p_partkey FROM part WHERE p_size > 25)",
-        "block_spectrum": "SELECT label, count(*) // 64 AS n_rows, round(sum(CAST(embedding[k] AS DOUBLE) *"
-        " CAST(embedding[k] AS DOUBLE)), 4) AS energy, TRUE AS falling FROM embeddings, range(1, 65) t(k) GROUP BY label",
+        "block_spectrum": "WITH e AS (SELECT label, vec_id, k, CAST(embedding[k] AS DOUBLE) AS v FROM embeddings, range(1, 65) t(k)),"
+        " g AS (SELECT a.label, a.k AS p, b.k AS q, sum(a.v * b.v) AS g FROM e a JOIN e b USING (vec_id) GROUP BY ALL),"
+        " s AS (SELECT label, round(sum(g) FILTER (WHERE p = q), 4) AS energy, round(sum(g * g), 4) AS fourth FROM g GROUP BY label)"
+        " SELECT label, n_rows, energy, fourth, TRUE AS falling FROM s JOIN (SELECT label, count(*) AS n_rows FROM embeddings GROUP BY label) USING (label)",
         "spectral_norm": f"WITH {SUPPLY},\n{_power('p', 'm', iters)}\nSELECT CAST({iters} AS INTEGER) AS n_iters,"
         " round(v, 4) AS norm FROM pnorm",
         "relative_error": f"WITH {SUPPLY}, {COARSE}, {diff},\n{_power('p', 'm', iters)},\n{_power('q', 'dm', iters)}\n"
@@ -405,7 +467,13 @@ spot AS (SELECT p.*, f.fx >> (26 - d) AS ix, f.fy >> (26 - d) AS iy FROM place p
     den = f"({dist} + 1e-3)"
     k00 = f"(1e0 + (p.x - q.x) * (p.x - q.x) / ({den} * {den})) / ({den} * {den})"
     k10 = f"(0e0 + (p.y - q.y) * (p.x - q.x) / ({den} * {den})) / ({den} * {den})"
+    whole = (
+        f"WITH {UNIT}, ker AS (SELECT p.id, {k00} / (1e0 + q.id) AS y0, {k10} / (1e0 + q.id) AS y1"
+        " FROM pts p, pts q), sums AS (SELECT id, sum(y0) AS y0, sum(y1) AS y1 FROM ker GROUP BY id)"
+        " SELECT id * 2 AS i, {a} FROM sums UNION ALL SELECT id * 2 + 1, {b} FROM sums"
+    )
     return {
+        "kernel_matvec_fast": whole.replace("{a}", _r("y0", "y", 1)).replace("{b}", _r("y1", "y", 1)),
         "kernel_entries": f"WITH {UNIT},\n{needed}\nSELECT {cols}, {_r(k00, 'k00', 2)}, {_r(k10, 'k10', 2)}"
         " FROM spot p JOIN spot q ON abs(p.ix - q.ix) <= 1 AND abs(p.iy - q.iy) <= 1",
         "kernel_matvec": f"WITH {UNIT}, ker AS (SELECT p.id, {k00} / (1e0 + q.id) AS y0, {k10} / (1e0 + q.id) AS y1"
@@ -437,6 +505,10 @@ def _sketch_queries() -> dict[str, str]:
         "admissible_sketch": ev + ",\n" + cols
         + _long(f"SELECT *, {named(_gauss(3, 7, "depth || ':' || j"))} FROM act", "depth, pattern, box, j", 3),
         "leaf_probe": f"{ev},\n{probe}",
+        "sample_counts": f"{ev},\nper AS (SELECT depth, count(DISTINCT {_pattern(XYZ, 6)}) * 5 AS n FROM box GROUP BY depth),\n"
+        f"ful AS (SELECT max(n) * 2 AS w FROM box, dep WHERE depth = d GROUP BY {_pattern(XYZ, 3)})\n"
+        "SELECT depth, CASE WHEN depth >= 2 THEN n ELSE 0 END AS n_forward, CASE WHEN depth >= 2 THEN n ELSE 0 END AS n_adjoint,"
+        " CASE WHEN depth = d THEN (SELECT CAST(sum(w) AS BIGINT) FROM ful) ELSE 0 END AS n_probe FROM per, dep",
     }
 
 
@@ -460,17 +532,17 @@ def _factor_queries() -> dict[str, str]:
         " UNION ALL SELECT {k}, -y FROM ap)\nSELECT {k}, round(sum(y), 6) + 0e0 AS y FROM both_ GROUP BY {k}"
     )
     width = 3
-    draws = ", ".join(f"{g} AS o{c}" for c, g in enumerate(_gauss(width, 11, "'3:' || id")))
+    draws = ", ".join(f"{g} AS o{c}" for c, g in enumerate(_gauss(width, 11, "depth || ':' || id")))
     sums = ", ".join(f"sum(v * o{c}) AS y{c}" for c in range(width))
     minus = ", ".join(f"-sum(core * s{c}) AS y{c}" for c in range(width))
     sample = (
-        MEANS.format(last="AND h.depth <= 2") + ",\n"
-        f"om AS MATERIALIZED (SELECT id AS j, {_pattern(XY, 6)} AS pattern, {draws} FROM mem WHERE depth = 3),\n"
-        f"so AS (SELECT c.code AS b, pattern, {', '.join(f'sum(o{c}) AS s{c}' for c in range(width))}"
-        " FROM om JOIN coded c ON c.id = om.j AND c.depth = 2 GROUP BY ALL),\n"
-        f"raw_ AS (SELECT pattern, i, {sums} FROM m JOIN om USING (j) GROUP BY ALL"
-        f" UNION ALL SELECT pattern, c.id * 2 + r AS i, {minus} FROM mean JOIN so USING (b)"
-        " JOIN coded c ON c.depth = 2 AND c.code = mean.a, range(0, 2) t(r) GROUP BY ALL),\n"
+        MEANS.format(last="") + ",\n"
+        f"om AS MATERIALIZED (SELECT depth, id AS j, {_pattern(XY, 6)} AS pattern, {draws} FROM mem WHERE depth >= 2),\n"
+        f"so AS (SELECT om.depth, c.depth AS up, c.code AS b, pattern, {', '.join(f'sum(o{c}) AS s{c}' for c in range(width))}"
+        " FROM om JOIN coded c ON c.id = om.j AND c.depth < om.depth AND c.depth >= 2 GROUP BY ALL),\n"
+        f"raw_ AS (SELECT om.depth, pattern, i, {sums} FROM m JOIN om USING (j) GROUP BY ALL"
+        f" UNION ALL SELECT so.depth, pattern, c.id * 2 + r AS i, {minus} FROM mean JOIN so ON so.up = mean.depth AND so.b = mean.b"
+        " JOIN coded c ON c.depth = mean.depth AND c.code = mean.a, range(0, 2) t(r) GROUP BY ALL),\n"
     )
     total = ", ".join(f"sum(y{c}) AS y{c}" for c in range(width))
     u = "SELECT depth, a, b, count(DISTINCT i) AS {n} FROM held WHERE far GROUP BY ALL"
@@ -486,12 +558,17 @@ def _factor_queries() -> dict[str, str]:
         + " FROM ({n}) JOIN (" + energy + ") USING (depth, a, b)"
     )
 
-    def sweep(k, p, leaf):
-        inner = _with(NATIONS, XY, "box", leaf, 2) + ",\n" + NATION_MATRIX + ",\n" + LOCATED
+    def by_metric(eta):
+        wide = [f"(CAST(greatest(abs((r.i{a} >> (d - k)) - (c.i{a} >> (d - k))) - 1, 0) AS DOUBLE) * (({a}_hi - {a}_lo) / CAST((1::BIGINT << k) AS DOUBLE)))" for a in XY]
+        return f"sqrt({' + '.join(f'{g} * {g}' for g in wide)}) >= {eta}::DOUBLE * {_diam(XY, 'k')}"
+
+    def sweep(k, p, leaf, eta):
+        rule = TOUCHED if eta is None else by_metric(eta)
+        inner = _with(NATIONS, XY, "box", leaf, 2) + ",\n" + NATION_MATRIX + ",\n" + LOCATED_BY.replace("{rule}", rule)
         return (
             f"SELECT * FROM ({inner}\nSELECT CAST({k} AS INTEGER) AS k, CAST({p} AS INTEGER) AS p,"
-            f" CAST({leaf} AS INTEGER) AS leaf, CAST(d AS INTEGER) AS depth, {near} AS n_near,"
-            f" {blocks} * {k * k} AS n_core, {k} >= 6 AS exact FROM dep)"
+            f" CAST({leaf} AS INTEGER) AS leaf, CAST({'NULL' if eta is None else eta} AS DOUBLE) AS eta, CAST(d AS INTEGER) AS depth, {near} AS n_near,"
+            f" {blocks} * {k * k} AS n_core, CAST({'0' if k >= 6 else 'NULL'} AS DOUBLE) AS far_rel_error, {k} < 6 AS truncated FROM dep)"
         )
 
     return {
@@ -500,7 +577,7 @@ def _factor_queries() -> dict[str, str]:
         "apply_truncated_t": f"{base},\n{means},\n{xi},\n{by_a},\n{cols}\nSELECT j, {_r('y', 'y')} FROM ap",
         "peeled_matvec": f"{base},\n{means},\n{xj},\n{by_b},\n{rows},\n" + peel.format(k="i", o="j"),
         "peeled_rmatvec": f"{base},\n{means},\n{xi},\n{by_a},\n{cols},\n" + peel.format(k="j", o="i"),
-        "level_sample": f"{base},\n{sample}" + _long(f"SELECT pattern, i, {total} FROM raw_ GROUP BY ALL", "pattern, i", width),
+        "level_sample": f"{base},\n{sample}" + _long(f"SELECT depth, pattern, i, {total} FROM raw_ GROUP BY ALL", "depth, pattern, i", width),
         "column_bases": f"{nat}\n{whole.format(n=u.format(n='n_rows'))}",
         "row_bases": f"{nat}\n{whole.format(n=v.format(n='n_rows'))}",
         "block_orth": "SELECT CAST(label AS BIGINT) AS label, count(*) AS n_rows, CAST(least(4, count(*)) AS INTEGER) AS k_eff,"
@@ -514,9 +591,79 @@ def _factor_queries() -> dict[str, str]:
         f"SELECT i, {_r('coalesce(y, 0e0)', 'y', 2)} FROM idx LEFT JOIN prod USING (i)",
         "hier_rmatvec": f"{nat},\n{xi},\nprod AS (SELECT j, sum(v * x) AS y FROM m JOIN x USING (i) GROUP BY j)\n"
         f"SELECT id AS j, {_r('coalesce(prod.y, 0e0)', 'y', 2)} FROM pts LEFT JOIN prod ON j = id",
+        "black_box_bases": f"{nat}\nSELECT depth, a, b, TRUE AS k_ok, TRUE AS orth_ok, {_r('energy', 'captured', 2)} FROM ({energy})",
+        "black_box_report": f"{nat}\nSELECT CAST(6 AS INTEGER) AS k, {near} AS n_near, CAST(n * 2 * n AS DOUBLE) AS n_full,"
+        " 0e0 AS rel_error, 0e0 AS far_rel_error FROM dom",
+        "probe_blocks": f"{nat}\nSELECT depth, a, b, i, j, {_r('v', 'v', 2)} FROM held WHERE NOT far",
         "compression_report": f"{nat}\nSELECT CAST(6 AS INTEGER) AS k, {near} AS n_near, {blocks} * 36 AS n_core,"
         " CAST(n * 2 * n AS DOUBLE) AS n_full, 0e0 AS rel_error, 0e0 AS far_rel_error FROM dom",
-        "param_sweep": "\nUNION ALL ".join(sweep(*s) for s in ((1, 2, 8), (6, 2, 8), (6, 2, 32))),
+        "param_sweep": "\nUNION ALL ".join(
+            sweep(*s) for s in ((1, 2, 8, None), (6, 2, 8, None), (6, 2, 32, None), (6, 2, 8, 0.6), (6, 2, 8, 0.9), (6, 2, 32, 1.6))
+        ),
+    }
+
+
+def _cover_queries() -> dict[str, str]:
+    base = _with(UNIT, XY, "box")
+    ends = "depth, a_ix, a_iy, b_ix, b_iy, n_a, n_b"
+
+    def metric(eta):
+        return (
+            f"cand AS MATERIALIZED (SELECT c.*, {_box_gap(XY)} >= {eta}::DOUBLE * {_diam(XY)} AS apart FROM (SELECT a.depth, a.ix AS a_ix, a.iy AS a_iy,"
+            " b.ix AS b_ix, b.iy AS b_iy, a.n AS n_a, b.n AS n_b FROM box a JOIN box b ON a.depth = b.depth) c, dom),\n"
+            # Boxes that are apart stay so further down; the first depth counts.
+            f"blocks AS (SELECT c.{ends.replace(', ', ', c.')}, CASE WHEN c.apart THEN 'far' ELSE 'near' END AS kind FROM cand c"
+            " LEFT JOIN cand p ON p.depth = c.depth - 1 AND p.a_ix = c.a_ix >> 1 AND p.a_iy = c.a_iy >> 1 AND p.b_ix = c.b_ix >> 1"
+            " AND p.b_iy = c.b_iy >> 1, dep WHERE NOT coalesce(p.apart, FALSE) AND (c.apart OR c.depth = d))"
+        )
+
+    def counted(eta):
+        return (
+            f"SELECT * FROM ({base},\n{metric(eta)}\nSELECT CAST({eta} AS DOUBLE) AS eta, kind, depth, count(*) AS n_blocks, CAST(sum(CAST(n_a AS HUGEINT) * n_b) AS VARCHAR) AS n_pairs,"
+            " TRUE AS complete FROM blocks GROUP BY ALL)"
+        )
+
+    def uneven(source, axes, finest):
+        """The tree's own recursion: pairs of boxes that touch and are not both leaves meet again by their children."""
+        keys = _keys(axes)
+        flat = ", ".join(keys)
+        deep = ", ".join(f"f{a} >> ({finest} - k) AS i{a}" for a in axes)
+        fine = ", ".join(
+            f"least(greatest(CAST(floor(({a} - {a}_lo) / ({a}_hi - {a}_lo) * {float(1 << finest)}::DOUBLE) AS BIGINT), 0), {(1 << finest) - 1}) AS f{a}" for a in axes
+        )
+        up = ", ".join(f"i{a} >> 1 AS u{a}" for a in axes)
+        met = " AND ".join(f"p.i{a} = b.u{a}" for a in axes)
+        apart = " OR ".join(
+            f"(b_i{a} << (f - b_depth)) > ((a_i{a} + 1) << (f - a_depth)) OR (a_i{a} << (f - a_depth)) > ((b_i{a} + 1) << (f - b_depth))" for a in axes
+        )
+        cols = ["depth", *keys, "n", "leaf"]
+        both = ", ".join([f"x.k_{c} AS a_{c}" for c in cols] + [f"y.k_{c} AS b_{c}" for c in cols])
+        root = ", ".join([f"{c} AS a_{c}" for c in cols] + [f"{c} AS b_{c}" for c in cols])
+        named = ", ".join([f"a_{c}" for c in cols] + [f"b_{c}" for c in cols])
+        on_a = " AND ".join(f"x.{c} = fr.a_{c}" for c in ("depth", *keys))
+        on_b = " AND ".join(f"y.{c} = fr.b_{c}" for c in ("depth", *keys))
+        judged = f"SELECT *, {apart} AS apart FROM (SELECT *, greatest(a_depth, b_depth) AS f FROM ({{rows}}))"
+        return (
+            _with(source, axes, "dom").replace("WITH ", "WITH RECURSIVE ", 1)
+            + f",\nfine AS MATERIALIZED (SELECT id, {fine} FROM pts, dom),\n"
+            f"box AS MATERIALIZED (SELECT depth, depth - 1 AS up, {flat}, {up}, count(*) AS n FROM"
+            f" (SELECT CAST(k AS INTEGER) AS depth, {deep} FROM fine, range(0, {finest + 1}) t(k)) GROUP BY ALL),\n"
+            f"tree AS MATERIALIZED (SELECT b.depth, b.up, {', '.join(f'b.{k}' for k in keys)}, {', '.join(f'b.u{a}' for a in axes)}, b.n,"
+            f" b.n < {LEAF} OR b.depth = {finest} AS leaf FROM box b LEFT JOIN box p ON p.depth = b.up AND {met} WHERE b.depth = 0 OR p.n >= {LEAF}),\n"
+            f"step AS MATERIALIZED (SELECT depth, {flat}, {', '.join(f'{c} AS k_{c}' for c in cols)} FROM tree WHERE leaf UNION ALL"
+            f" SELECT p.depth, {', '.join(f'p.{k}' for k in keys)}, {', '.join(f'b.{c} AS k_{c}' for c in cols)} FROM tree p JOIN tree b ON p.depth = b.up AND {met}),\n"
+            f"fr AS ({judged.format(rows=f'SELECT {root} FROM tree WHERE depth = 0')} UNION ALL "
+            + judged.format(rows=f"SELECT {both} FROM fr JOIN step x ON {on_a} JOIN step y ON {on_b} WHERE NOT fr.apart AND NOT (fr.a_leaf AND fr.b_leaf)")
+            + f"),\nfound AS (SELECT {named}, CASE WHEN NOT apart THEN 'near' WHEN a_depth = b_depth THEN 'far' WHEN a_depth < b_depth THEN 'coarse' ELSE 'fine' END AS kind"
+            " FROM fr WHERE apart OR (a_leaf AND b_leaf))"
+        )
+
+    return {
+        "metric_cover": f"{base},\n{metric(0.9)}\nSELECT depth AS a_depth, a_ix, a_iy, depth AS b_depth, b_ix, b_iy, n_a, n_b, kind FROM blocks",
+        "metric_coverage": "\nUNION ALL ".join(counted(e) for e in (0.6, 0.9, 1.6)),
+        "uneven_lists": uneven(PART, XY, 26) + "\nSELECT a_depth, a_ix, a_iy, b_depth, b_ix, b_iy, a_n AS n_a, b_n AS n_b, kind FROM found",
+        "uneven_coverage": uneven(EVENTS, XYZ, 20) + "\nSELECT kind, count(*) AS n_blocks, CAST(sum(CAST(a_n AS HUGEINT) * b_n) AS VARCHAR) AS n_pairs,"
+        " (SELECT CAST(CAST(n AS HUGEINT) * n AS VARCHAR) FROM dom) AS expected, TRUE AS complete FROM found GROUP BY kind",
     }
 
 
@@ -529,4 +676,5 @@ def oracle_sql() -> dict[str, str]:
         | _kernel_queries()
         | _sketch_queries()
         | _factor_queries()
+        | _cover_queries()
     )

@@ -8,6 +8,7 @@ whole matrix with periodic sketches and peels coarser depths, as the published m
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -21,12 +22,14 @@ from gridweave.operators import near as near_ops
 from gridweave.operators.blockfactor import BLOCK, block_orth, core_matrix
 from gridweave.operators.factors import Factors, apply_truncated, apply_truncated_t, peeled_matvec_thick
 from gridweave.operators.norms import matrix_products, power_norm, ratio, start_vector
-from gridweave.operators.patterns import SAMPLE_PERIOD, pattern_code
+from gridweave.operators.patterns import LEAF_PERIOD, SAMPLE_PERIOD, packed_probe, pattern_code
 from gridweave.operators.products import matvec, rmatvec, sum_arrays, transpose
 from gridweave.skew import hot_table, skew_join
 
 # Seeds of the column and the row sketches.
 COL_SEED, ROW_SEED = 11, 23
+# Slots of one thick probe column.
+PROBE_WIDTH = 8
 # First depth that has well-separated pairs.
 FIRST_DEPTH = 2
 # Pairs of one depth up to this bound are broadcast; a depth has at most 2^(d depth) boxes of 6^d pairs.
@@ -34,27 +37,35 @@ BROADCAST_PAIRS = 200_000
 
 
 # -- where an entry belongs ------------------------------------------------
-def separation_depth(grid: Grid, depth: int, row: str = "r_", col: str = "c_") -> Column:
+def separation_depth(grid: Grid, depth: int, row: str = "r_", col: str = "c_", eta: float | None = None) -> Column:
     """First depth at which the cells of an entry's row and column no longer touch; null if they always do.
 
-    Touching is monotone over depths, so this is the one depth whose interaction pair holds the entry.
+    With ``eta`` they must be ``eta`` cell diagonals apart instead.  Both are monotone over depths, so
+    this is the one depth whose block holds the entry.
     """
+    if eta is not None and eta <= 0:
+        raise ValueError(f"eta must be > 0, got {eta}")
     out = None
     for level in range(FIRST_DEPTH, depth + 1):
-        apart = F.lit(False)
-        for k in grid.keys:
+        apart, square = F.lit(False), F.lit(0.0)
+        for k, wide in zip(grid.keys, grid.width):
             r = F.shiftright(F.col(row + k), depth - level)
             c = F.shiftright(F.col(col + k), depth - level)
             apart = apart | (F.abs(r - c) > 1)
+            gap = F.greatest(F.abs(r - c) - 1, F.lit(0)).cast("double") * F.lit(wide / 2.0**level)
+            square = square + gap * gap
+        if eta is not None:
+            apart = F.sqrt(square) >= F.lit(eta) * grid.diam(F.lit(level))
         out = F.when(apart, level) if out is None else out.when(apart, level)
     return F.lit(None).cast("int") if out is None else out
 
 
-def locate(matrix: DataFrame, points: DataFrame, grid: Grid, depth: int) -> DataFrame:
+def locate(matrix: DataFrame, points: DataFrame, grid: Grid, depth: int, eta: float | None = None) -> DataFrame:
     """Attach to each entry its block ``(depth, a, b)``: an interaction block, or a neighbor block
     of the last depth (``far`` false).
 
-    This is the only place where entries meet the points; every later step reads the result.
+    With ``eta`` the far blocks are those of the metric cover (``plans.cover``), pairs of boxes that are
+    the first to be ``eta`` diagonals apart.  This is the only place where entries meet the points; every later step reads the result.
     ``matrix`` should be a stored table.
     """
     cells = points.select("id", *grid.cells(depth))
@@ -65,7 +76,7 @@ def locate(matrix: DataFrame, points: DataFrame, grid: Grid, depth: int) -> Data
         patch = F.expr(f"{end} div {dof}")
         hot = hot_table(matrix.withColumn(key, patch), [key])
         out = skew_join(out.withColumn(key, patch), side, [key], [other], hot).drop(key)
-    out = out.withColumn("_sep", separation_depth(grid, depth))
+    out = out.withColumn("_sep", separation_depth(grid, depth, eta=eta))
     out = out.withColumn("depth", F.coalesce(F.col("_sep"), F.lit(depth)))
     up = F.lit(depth) - F.col("depth")
 
@@ -130,6 +141,48 @@ def level_sample(
     return peeled_matvec_thick(source, sketch, width, peeled, ["pattern"])
 
 
+def level_samples(
+    matrix: DataFrame, points: DataFrame, grid: Grid, depth: int, width: int, factors: Factors | None = None, seed: int = COL_SEED, adjoint: bool = False
+) -> DataFrame:
+    """``level_sample`` of every depth from the first with well-separated pairs to ``depth``: ``(depth, pattern, i, ys)``.
+
+    Each depth peels the blocks of ``factors`` that are coarser than it.
+    """
+    out = None
+    for level in range(FIRST_DEPTH, depth + 1):
+        coarser = factors.above(level) if factors is not None and level > FIRST_DEPTH else None
+        part = level_sample(matrix, points, grid, level, width, coarser, seed, adjoint).withColumn("depth", F.lit(level))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError(f"depth {depth} has no well-separated pairs")
+    return out.select("depth", "pattern", "i", "ys")
+
+
+def probe_blocks(
+    matrix: DataFrame, points: DataFrame, grid: Grid, pairs: DataFrame, depth: int, factors: Factors | None, width: int = PROBE_WIDTH
+) -> DataFrame:
+    """Touching blocks of ``depth`` from products with packed probes alone: ``(depth, a, b, i, j, v)``.
+
+    ``factors`` stand for all well-separated blocks down to ``depth`` and are peeled off.  What
+    is left at a box's rows comes from its neighbors, and only one of them has a given pattern,
+    so pattern and slot lead back to one column.  All entries of the blocks come back, zeros too.
+    """
+    probe = cut_lineage(packed_probe(points, grid, depth, width))
+    unit = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda s: F.when(s == F.col("at"), 1.0).otherwise(0.0))
+    sample = peeled_matvec_thick(matrix, probe.select("pattern", "chunk", "j", unit.alias("xs")), width, factors, ["pattern", "chunk"])
+    near = pairs.where((F.col("depth") == depth) & (F.col("kind") == "nei")).select(
+        grid.code(F.col("depth"), "a_").alias("box"),
+        grid.code(F.col("depth"), "b_").alias("b"),
+        pattern_code(grid, LEAF_PERIOD, "b_").alias("pattern"),
+    )
+    rows = _owned(points, grid, depth, grid.dof_row, "i").drop("pattern").join(near, "box")
+    slots = probe.groupBy(F.col("box").alias("b"), "chunk").agg(F.collect_list(F.struct("at", "j")).alias("slots"))
+    got = rows.join(sample, ["pattern", "i"]).join(slots, ["b", "chunk"])
+    return got.select(
+        F.lit(depth).alias("depth"), F.col("box").alias("a"), "b", "i", "ys", F.inline("slots")
+    ).select("depth", "a", "b", "i", "j", F.element_at("ys", F.col("at") + 1).alias("v"))
+
+
 def block_samples(
     sample: DataFrame, pairs: DataFrame, points: DataFrame, grid: Grid, depth: int, adjoint: bool = False
 ) -> DataFrame:
@@ -251,20 +304,32 @@ def compress_kernel(
 
 
 def compress_black_box(
-    matrix: DataFrame, points: DataFrame, grid: Grid, pairs: DataFrame, depth: int, k: int, p: int, method: str = "svd"
+    matrix: DataFrame, points: DataFrame, grid: Grid, pairs: DataFrame, depth: int, k: int, p: int, method: str = "svd",
+    state: str | None = None,
 ) -> Factors:
-    """Black-box mode: depth by depth from products with the whole matrix, coarser depths peeled."""
+    """Black-box mode: depth by depth from products with the whole matrix, coarser depths peeled.
+
+    With ``state``, a folder that all executors reach, each depth's factors are kept there; a run
+    that was ended goes on behind the last whole depth.  A folder belongs to one matrix, and
+    other settings than those it was begun with are an error.
+    """
     width = sketch_width(k, p)
+    settings = f"k={k} p={p} method={method} n={grid.n} lo={grid.lo} top={grid.top}"
     pairs = cut_lineage(pairs)
     done: Factors | None = None
     for level in range(FIRST_DEPTH, depth + 1):
-        y = level_sample(matrix, points, grid, level, width, done, COL_SEED)
-        z = level_sample(matrix, points, grid, level, width, done, ROW_SEED, adjoint=True)
-        new = factor_blocks(
-            block_samples(y, pairs, points, grid, level),
-            block_samples(z, pairs, points, grid, level, adjoint=True),
-            k, p, method,
-        )
+        folder = f"{state}/{level}"
+        new = Factors.load(matrix.sparkSession, folder, settings) if state else None
+        if new is None:
+            y = level_sample(matrix, points, grid, level, width, done, COL_SEED)
+            z = level_sample(matrix, points, grid, level, width, done, ROW_SEED, adjoint=True)
+            new = factor_blocks(
+                block_samples(y, pairs, points, grid, level),
+                block_samples(z, pairs, points, grid, level, adjoint=True),
+                k, p, method,
+            )
+            if state:
+                new.save(folder, settings)
         done = new if done is None else done.plus(new)
     if done is None:
         raise ValueError(f"depth {depth} has no well-separated pairs")
@@ -298,16 +363,18 @@ def stored_numbers(comp: Compressed) -> DataFrame:
     )
 
 
-def compression_report(entries: DataFrame, comp: Compressed, grid: Grid, n_iters: int = 20, seed: int = 0) -> DataFrame:
+def compression_report(
+    entries: DataFrame, comp: Compressed, grid: Grid, n_iters: int = 20, seed: int = 0, norms: tuple[float, float] | None = None
+) -> DataFrame:
     """Relative spectral errors and sizes.
 
     The touching part is exact, so the error of the whole and of the far part share one
     numerator; the far error is the one to gate on, as a dominant diagonal hides it in the other.
+    ``norms`` are ``entry_norms`` of the same entries where they are known.
     """
-    matrix = entries.select("i", "j", "v")
-    far = cut_lineage(entries.where("far").select("i", "j", "v"))
-    start = cut_lineage(start_vector(matrix.select("j").distinct(), seed))
-    fwd, adj = matrix_products(far)
+    start = cut_lineage(start_vector(entries.select("j").distinct(), seed))
+    far_norm, whole_norm = norms or entry_norms(entries, n_iters, seed)
+    fwd, adj = matrix_products(cut_lineage(entries.where("far").select("i", "j", "v")))
     f = comp.factors
 
     def minus(full: DataFrame, approx: DataFrame, key: str) -> DataFrame:
@@ -321,8 +388,6 @@ def compression_report(entries: DataFrame, comp: Compressed, grid: Grid, n_iters
         start,
         n_iters,
     )
-    far_norm = power_norm(fwd, adj, start, n_iters)
-    whole_norm = power_norm(*matrix_products(cut_lineage(matrix)), start, n_iters)
     full = grid.n * grid.dof_row * grid.n * grid.dof_col
     return stored_numbers(comp).select(
         F.lit(f.k).alias("k"),
@@ -336,20 +401,39 @@ def compression_report(entries: DataFrame, comp: Compressed, grid: Grid, n_iters
     )
 
 
+def entry_norms(entries: DataFrame, n_iters: int = 20, seed: int = 0) -> tuple[float, float]:
+    """Spectral norms of the far part and of the whole of located entries (a written table), from one start vector."""
+    start = cut_lineage(start_vector(entries.select("j").distinct(), seed))
+    far, whole = (cut_lineage(t.select("i", "j", "v")) for t in (entries.where("far"), entries))
+    return power_norm(*matrix_products(far), start, n_iters), power_norm(*matrix_products(whole), start, n_iters)
+
+
 def param_sweep(
-    matrix: DataFrame, points: DataFrame, grid: Grid, settings: Sequence[tuple[int, int, int]], n_iters: int = 20
+    matrix: DataFrame, points: DataFrame, grid: Grid, settings: Sequence[tuple], n_iters: int = 20, at_once: int = 4
 ) -> DataFrame:
-    """Reports over ``(k, p, leaf size)``; entries are located once per leaf size."""
-    out = None
-    located: dict[int, DataFrame] = {}
-    for k, p, leaf in settings:
-        depth = max(grid.depth_for(leaf), FIRST_DEPTH)
-        if depth not in located:
-            located[depth] = cut_lineage(locate(matrix, points, grid, depth))
-        entries = located[depth]
-        report = compression_report(entries, compress_entries(entries, k, p), grid, n_iters)
-        row = report.withColumns({"p": F.lit(p), "leaf": F.lit(leaf), "depth": F.lit(depth)})
-        out = row if out is None else out.unionByName(row)
-    if out is None:
+    """Reports over ``(k, p, leaf size)`` or ``(k, p, leaf size, eta)``; ``eta`` None takes the blocks of touching cells.
+
+    Entries are located, and their norms taken, once per leaf size and eta.  Settings do not
+    depend on each other: ``at_once`` of them are run side by side, as their power steps are many small jobs.
+    """
+    if not settings:
         raise ValueError("no settings given")
+    wanted = [(*s, None)[:4] for s in settings]
+    depths = {leaf: max(grid.depth_for(leaf), FIRST_DEPTH) for _, _, leaf, _ in wanted}
+    meshes = list(dict.fromkeys((depths[leaf], eta) for _, _, leaf, eta in wanted))
+    located = {mesh: cut_lineage(locate(matrix, points, grid, *mesh)) for mesh in meshes}
+
+    def report(setting: tuple) -> DataFrame:
+        k, p, leaf, eta = setting
+        entries = located[depths[leaf], eta]
+        row = compression_report(entries, compress_entries(entries, k, p), grid, n_iters, norms=norms[depths[leaf], eta])
+        named = {"p": F.lit(p), "leaf": F.lit(leaf), "eta": F.lit(eta).cast("double"), "depth": F.lit(depths[leaf])}
+        return row.withColumns(named)
+
+    with ThreadPoolExecutor(at_once) as pool:
+        norms = dict(zip(meshes, pool.map(lambda mesh: entry_norms(located[mesh], n_iters), meshes)))
+        rows = list(pool.map(report, wanted))
+    out = rows[0]
+    for row in rows[1:]:
+        out = out.unionByName(row)
     return out

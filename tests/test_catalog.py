@@ -6,19 +6,22 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from gridweave import catalog, oracle
 
 FOLDER = os.environ.get("GRIDWEAVE_TEST_DIR", "/root/testdata/sf0.001")
 TABLES = ("nation", "supplier", "part", "lineitem", "events", "embeddings")
 # A cross-section that runs quickly; the driver compares all of them.
 CHECKED = (
     "point_validate", "domain_box", "boxes", "leaf_membership", "collapsed_boxes", "eta_sweep", "interaction_pairs",
-    "admissible_pairs", "coverage_audit", "sampling_constraints", "constraint_conflicts", "rmatvec_thick",
+    "admissible_pairs", "coverage_audit", "sampling_constraints", "constraint_conflicts", "constraint_sets",
+    "constraint_set_columns", "conflict_edges", "conflict_graph", "sample_counts", "level_sample", "leaf_boxes", "rmatvec_thick",
     "difference_matvec", "kernel_entries", "admissible_sketch", "leaf_probe", "leaf_blocks", "hier_matvec",
 )
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.queries()) == set(oracle.oracle_sql())
+    assert set(catalog.queries()) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.fixture(scope="module")
