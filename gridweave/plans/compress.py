@@ -258,11 +258,14 @@ def kernel_samples(
 
 # -- factors ---------------------------------------------------------------
 def factor_blocks(y: DataFrame, z: DataFrame, k: int, p: int, method: str = "svd") -> Factors:
-    """Factors of all sampled blocks from their column and row samples."""
+    """Factors of all sampled blocks from their column and row samples.  The two sides do not depend on each other and run side by side."""
     width = sketch_width(k, p)
-    y, z = cut_lineage(y), cut_lineage(z)
-    u = cut_lineage(block_orth(y, "i", width, k, method, BLOCK, "us"))
-    v = cut_lineage(block_orth(z, "j", width, k, method, BLOCK, "vs"))
+
+    def side(sample: DataFrame, row: str, out: str) -> DataFrame:
+        return cut_lineage(block_orth(cut_lineage(sample), row, width, k, method, BLOCK, out))
+
+    with ThreadPoolExecutor(2) as pool:
+        u, v = pool.map(side, (y, z), ("i", "j"), ("us", "vs"))
     core = cut_lineage(core_matrix(u, v, width, k, ROW_SEED, COL_SEED))
     return Factors(u.drop("ys"), core, v.drop("ys"), k, hot_table(u, BLOCK), hot_table(v, BLOCK))
 
@@ -373,7 +376,6 @@ def compression_report(
     ``norms`` are ``entry_norms`` of the same entries where they are known.
     """
     start = cut_lineage(start_vector(entries.select("j").distinct(), seed))
-    far_norm, whole_norm = norms or entry_norms(entries, n_iters, seed)
     fwd, adj = matrix_products(cut_lineage(entries.where("far").select("i", "j", "v")))
     f = comp.factors
 
@@ -382,12 +384,19 @@ def compression_report(
         return both.groupBy(key).agg(F.sum("y").alias("y"))
 
     # Both halves of the adjoint read the same vector, so it is written first.
-    error = power_norm(
-        lambda x: cut_lineage(minus(fwd(x), apply_truncated(f, x), "i")),
-        lambda x: minus(adj(x), apply_truncated_t(f, x), "j"),
-        start,
-        n_iters,
-    )
+    def error_norm() -> float:
+        return power_norm(
+            lambda x: cut_lineage(minus(fwd(x), apply_truncated(f, x), "i")),
+            lambda x: minus(adj(x), apply_truncated_t(f, x), "j"),
+            start,
+            n_iters,
+        )
+
+    # The norms are chains of small jobs that do not wait for each other.
+    with ThreadPoolExecutor(2) as pool:
+        apart = pool.submit(error_norm)
+        far_norm, whole_norm = norms or entry_norms(entries, n_iters, seed)
+        error = apart.result()
     full = grid.n * grid.dof_row * grid.n * grid.dof_col
     return stored_numbers(comp).select(
         F.lit(f.k).alias("k"),
@@ -404,8 +413,13 @@ def compression_report(
 def entry_norms(entries: DataFrame, n_iters: int = 20, seed: int = 0) -> tuple[float, float]:
     """Spectral norms of the far part and of the whole of located entries (a written table), from one start vector."""
     start = cut_lineage(start_vector(entries.select("j").distinct(), seed))
-    far, whole = (cut_lineage(t.select("i", "j", "v")) for t in (entries.where("far"), entries))
-    return power_norm(*matrix_products(far), start, n_iters), power_norm(*matrix_products(whole), start, n_iters)
+
+    def norm(part: DataFrame) -> float:
+        return power_norm(*matrix_products(cut_lineage(part.select("i", "j", "v"))), start, n_iters)
+
+    with ThreadPoolExecutor(2) as pool:
+        far, whole = pool.map(norm, (entries.where("far"), entries))
+    return far, whole
 
 
 def param_sweep(
