@@ -132,11 +132,15 @@ def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     host = F.col(host_col).cast("string") if host_col else F.lit(None).cast("string")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumns({"_host": host, "_key": F.xxhash64(text)})
-    rows = cut_lineage(keyed.select(F.col(id_col).cast("long").alias("doc_id"), "_host", "_key", _hashed(F.filter(F.split(text, "\n"), _worded)).alias("_lines")))
-    left = F.filter(F.split(F.col(text_col), "\n"), lambda x: ~(_worded(x) & F.array_contains(F.col("_gone"), F.xxhash64(normalised(x)))))
+    # The caller's columns travel in one, whatever they are called.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    keyed = docs.select(whole, F.col(id_col).cast("long").alias("_id"), host.alias("_host"), F.xxhash64(text).alias("_key"), text.alias("_text"))
+    rows = cut_lineage(keyed.select(F.col("_id").alias("doc_id"), "_host", "_key", _hashed(F.filter(F.split("_text", "\n"), _worded)).alias("_lines")))
     out = _with_gone(keyed, _above(rows, min_docs, host_share, count_copies, max_docs))
-    return out.withColumn(text_col, F.when(F.size("_gone") == 0, F.col(text_col)).otherwise(F.array_join(left, "\n"))).select(*docs.columns)
+    left = F.filter(F.split("_text", "\n"), lambda x: ~(_worded(x) & F.array_contains(F.col("_gone"), F.xxhash64(normalised(x)))))
+    own = F.col("_doc").getField(text_col)
+    kept = F.when(F.size("_gone") == 0, own).otherwise(F.array_join(left, "\n"))
+    return out.select(*[(kept if c == text_col else F.col("_doc").getField(c)).alias(c) for c in docs.columns])
 
 
 def judge(
