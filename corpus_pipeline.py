@@ -27,20 +27,28 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; of repeated ids one row.  Rows without an id stay."""
+    """The document with the smallest id of each group.  Rows without an id stay.
+
+    Of repeated ids one row stays: the one with the smallest hash of its text, then the smallest text, then the
+    smallest of its columns written as JSON.
+    """
     found = cut_lineage(neardup.near_duplicates(docs).where(F.col("doc_id").isNotNull()))
     ids = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     gone = ids.where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
     kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
     if ids.where("kept and n > 1").limit(1).count() == 0:
         return kept
-    return kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    order = F.struct(F.xxhash64(text), text, F.to_json(whole))
+    # Repeats of an id are few but for errors of the source; their smallest is found by map-side combining.
+    one = kept.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by(whole, order).alias("_doc"))
+    return kept.where("doc_id IS NULL").unionByName(one.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns]))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item."""
-    blocks = decontaminate.matchers(docs, read(spark, sf_dir, "benchmark"))
-    return docs.where(~decontaminate.contaminated(blocks))
+    return decontaminate.clean(docs, decontaminate.matchers(docs, read(spark, sf_dir, "benchmark")))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
