@@ -306,14 +306,16 @@ def _requests(box: DataFrame, pr: DataFrame, grid: Grid) -> DataFrame:
 def constraint_sets(spark, sf):
     _, grid, _, box, pr = _pairs(_part, spark, sf)
     out = constraints.constraint_sets(_requests(box, pr, grid), box, pr, grid)
-    return out.withColumn("zero_boxes", F.array_join(F.col("zero_boxes").cast("array<string>"), ","))
+    return out.withColumn("zero_boxes", F.coalesce(F.array_join(F.col("zero_boxes").cast("array<string>"), ","), F.lit("")))
 
 
 def constraint_set_columns(spark, sf):
     pts, grid, depth, box, pr = _pairs(_part, spark, sf)
     cols = constraints.box_column_sums(pts, grid, depth)
     out = constraints.constraint_set_columns(_requests(box, pr, grid), box, pr, cols, grid)
-    return out.withColumns({c: _as_text(c) for c in ("random_sum", "zero_sum")})
+    # A request without a list shows zeros; its place says so.
+    zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("n_random", "n_zero", "random_sum", "zero_sum")}
+    return out.withColumns(zero).withColumns({c: _as_text(c) for c in ("random_sum", "zero_sum")})
 
 
 def _sets(spark, sf) -> DataFrame:
@@ -692,15 +694,15 @@ def compression_report(spark, sf):
 def param_sweep(spark, sf):
     """Reports over rank, oversampling, leaf size and eta; the far error vanishes from the data's rank on.
 
-    Below that rank the SQL knows no error, as it has no factors: it is null there.
+    Below that rank the SQL knows no error, as it has no factors: it is -1 there.  An eta of 0 stands for touching cells.
     """
     pts = points.nation_points(spark, sf)
     grid = Grid.fit(pts)
     held = cut_lineage(matrices.nation_matrix(spark, sf))
     out = compress.param_sweep(held, pts, grid, SWEEP, ITERS)
-    known = F.when(F.col("k") >= NATION_RANK, F.round("far_rel_error", 6) + F.lit(0.0)).alias("far_rel_error")
+    known = F.when(F.col("k") >= NATION_RANK, F.round("far_rel_error", 6) + F.lit(0.0)).otherwise(-1.0).alias("far_rel_error")
     some = (F.col("k") < NATION_RANK) & (F.col("far_rel_error") > 1e-6)
-    return out.select("k", "p", "leaf", "eta", "depth", "n_near", "n_core", known, some.alias("truncated"))
+    return out.select("k", "p", "leaf", F.coalesce("eta", F.lit(0.0)).alias("eta"), "depth", "n_near", "n_core", known, some.alias("truncated"))
 
 
 def metric_cover(spark, sf):

@@ -366,7 +366,7 @@ def _pair_queries() -> dict[str, str]:
     request_sets = (
         f"{requests},\nzs AS (SELECT s.depth, s.alpha, s.beta, coalesce(string_agg(CAST(c.beta AS VARCHAR), ',' ORDER BY c.beta), '') AS zero_boxes"
         " FROM served s LEFT JOIN coded c ON c.depth = s.depth AND c.alpha = s.alpha AND c.beta <> s.beta GROUP BY ALL)\n"
-        "SELECT p.*, z.zero_boxes FROM placed p LEFT JOIN zs z ON z.depth = p.depth AND z.alpha = p.alpha AND z.beta = p.beta"
+        "SELECT p.*, coalesce(z.zero_boxes, '') AS zero_boxes FROM placed p LEFT JOIN zs z ON z.depth = p.depth AND z.alpha = p.alpha AND z.beta = p.beta"
         " AND p.place NOT IN ('no_box', 'depths_differ')"
     )
     request_cols = (
@@ -374,7 +374,8 @@ def _pair_queries() -> dict[str, str]:
         "zs AS (SELECT s.depth, s.alpha, s.beta, CAST(coalesce(sum(k.n_cols), 0) AS BIGINT) AS n_zero, coalesce(sum(k.col_sum), 0) AS zero_sum"
         " FROM served s LEFT JOIN coded c ON c.depth = s.depth AND c.alpha = s.alpha AND c.beta <> s.beta"
         " LEFT JOIN cols k ON k.depth = c.depth AND k.code = c.beta GROUP BY s.depth, s.alpha, s.beta)\n"
-        "SELECT p.*, r.n_cols AS n_random, CAST(r.col_sum AS VARCHAR) AS random_sum, z.n_zero, CAST(z.zero_sum AS VARCHAR) AS zero_sum"
+        "SELECT p.*, coalesce(r.n_cols, 0) AS n_random, CAST(coalesce(r.col_sum, 0) AS VARCHAR) AS random_sum, coalesce(z.n_zero, 0) AS n_zero,"
+        " CAST(coalesce(z.zero_sum, 0) AS VARCHAR) AS zero_sum"
         " FROM placed p LEFT JOIN zs z ON z.depth = p.depth AND z.alpha = p.alpha AND z.beta = p.beta"
         " AND p.place NOT IN ('no_box', 'depths_differ') LEFT JOIN cols r ON r.depth = z.depth AND r.code = z.beta"
     )
@@ -567,8 +568,8 @@ def _factor_queries() -> dict[str, str]:
         inner = _with(NATIONS, XY, "box", leaf, 2) + ",\n" + NATION_MATRIX + ",\n" + LOCATED_BY.replace("{rule}", rule)
         return (
             f"SELECT * FROM ({inner}\nSELECT CAST({k} AS INTEGER) AS k, CAST({p} AS INTEGER) AS p,"
-            f" CAST({leaf} AS INTEGER) AS leaf, CAST({'NULL' if eta is None else eta} AS DOUBLE) AS eta, CAST(d AS INTEGER) AS depth, {near} AS n_near,"
-            f" {blocks} * {k * k} AS n_core, CAST({'0' if k >= 6 else 'NULL'} AS DOUBLE) AS far_rel_error, {k} < 6 AS truncated FROM dep)"
+            f" CAST({leaf} AS INTEGER) AS leaf, CAST({eta or 0} AS DOUBLE) AS eta, CAST(d AS INTEGER) AS depth, {near} AS n_near,"
+            f" {blocks} * {k * k} AS n_core, CAST({0 if k >= 6 else -1} AS DOUBLE) AS far_rel_error, {k} < 6 AS truncated FROM dep)"
         )
 
     return {
