@@ -699,7 +699,7 @@ def param_sweep(spark, sf):
     pts = points.nation_points(spark, sf)
     grid = Grid.fit(pts)
     held = cut_lineage(matrices.nation_matrix(spark, sf))
-    out = compress.param_sweep(held, pts, grid, SWEEP, ITERS)
+    out = compress.param_sweep(held, pts, grid, SWEEP, ITERS, len(SWEEP))
     known = F.when(F.col("k") >= NATION_RANK, F.round("far_rel_error", 6) + F.lit(0.0)).otherwise(-1.0).alias("far_rel_error")
     some = (F.col("k") < NATION_RANK) & (F.col("far_rel_error") > 1e-6)
     return out.select("k", "p", "leaf", F.coalesce("eta", F.lit(0.0)).alias("eta"), "depth", "n_near", "n_core", known, some.alias("truncated"))

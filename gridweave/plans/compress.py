@@ -410,16 +410,20 @@ def compression_report(
     )
 
 
-def entry_norms(entries: DataFrame, n_iters: int = 20, seed: int = 0) -> tuple[float, float]:
-    """Spectral norms of the far part and of the whole of located entries (a written table), from one start vector."""
+def entry_norms(entries: DataFrame, n_iters: int = 20, seed: int = 0, whole: float | None = None) -> tuple[float, float]:
+    """Spectral norms of the far part and of the whole of located entries (a written table), from one start vector.
+
+    ``whole`` is the second one where it is known.
+    """
     start = cut_lineage(start_vector(entries.select("j").distinct(), seed))
 
     def norm(part: DataFrame) -> float:
         return power_norm(*matrix_products(cut_lineage(part.select("i", "j", "v"))), start, n_iters)
 
     with ThreadPoolExecutor(2) as pool:
-        far, whole = pool.map(norm, (entries.where("far"), entries))
-    return far, whole
+        far = pool.submit(norm, entries.where("far"))
+        whole = norm(entries) if whole is None else whole
+        return far.result(), whole
 
 
 def param_sweep(
@@ -445,7 +449,10 @@ def param_sweep(
         return row.withColumns(named)
 
     with ThreadPoolExecutor(at_once) as pool:
-        norms = dict(zip(meshes, pool.map(lambda mesh: entry_norms(located[mesh], n_iters), meshes)))
+        # All meshes hold the same matrix.
+        first = entry_norms(located[meshes[0]], n_iters)
+        rest = pool.map(lambda mesh: entry_norms(located[mesh], n_iters, whole=first[1]), meshes[1:])
+        norms = dict(zip(meshes, [first, *rest]))
         rows = list(pool.map(report, wanted))
     out = rows[0]
     for row in rows[1:]:
